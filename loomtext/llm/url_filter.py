@@ -17,6 +17,7 @@ other columns of the input stay as they are unless they have an output's name, w
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterable
 
@@ -42,9 +43,10 @@ def candidate(host: Column, path: Column, of: tuple[int, int]) -> Column:
     return F.when((host != "") & has & (F.length(path) >= chars), F.concat(F.substring_index(host, ".", -labels), F.substring(path, 1, chars)))
 
 
-def places(key: Column, seed: int, bits: int, hashes: int) -> list[Column]:
+def places(key: Column, seed: int, bits: int, hashes: int) -> Column:
+    """The key's bit positions, as an array."""
     a, b = (F.pmod(F.xxhash64(F.lit(2 * seed + i), key), F.lit(bits)) for i in (0, 1))
-    return [F.pmod(a + F.lit(i) * b, F.lit(bits)) for i in range(hashes)]
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(a + i * b, F.lit(bits)))
 
 
 class Cascade:
@@ -69,7 +71,7 @@ class Cascade:
                 return None
             side = len(levels) % 2 == 0  # whether this level holds listed keys
             passed = universe.filter(cls(levels).passes(F.col("key"))) if levels else universe
-            at = F.explode(F.array(*places(F.col("key"), len(levels), bits, hashes))).alias("at")
+            at = F.explode(places(F.col("key"), len(levels), bits, hashes)).alias("at")
             words = [0] * (bits // WORD + 1)
             for row in passed.filter(F.col("listed") == side).select(at).groupBy(F.floor(F.col("at") / WORD).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % WORD).cast("int"))).alias("bits")).collect():
                 words[row["word"]] = row["bits"]  # at most max_bits / WORD rows
@@ -80,10 +82,8 @@ class Cascade:
     def level(self, key: Column, k: int) -> Column:
         bits, hashes, words = self.levels[k]
         held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-        yes = F.lit(True)
-        for at in places(key, k, bits, hashes):
-            yes = yes & (F.getbit(F.get(held, F.floor(at / WORD).cast("int")), (at % WORD).cast("int")) == 1)
-        return yes
+        bit = lambda at: F.getbit(F.get(held, F.floor(at / WORD).cast("int")), (at % WORD).cast("int")) == 1
+        return F.forall(places(key, k, bits, hashes), bit)
 
     def passes(self, key: Column) -> Column:
         """Whether the key passes every level."""
@@ -113,22 +113,23 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, list
     host, path = url_parts(F.col("url"))
     judged = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     shapes = sorted({shape(k) for keys in groups.values() for k in keys})
-    keys = {s: candidate(F.col("host"), F.col("path"), s) for s in shapes}
-    spark = pages.sparkSession
-    seen = judged.select(F.explode(F.array(*keys.values())).alias("key")).filter("key is not null").select("key", *(F.lit(False).alias(g) for g in groups))
-    given = spark.createDataFrame([(k, *(k in keys_of for keys_of in groups.values())) for k in dict.fromkeys(k for ks in groups.values() for k in ks)], "key string, " + ", ".join(f"`{g}` boolean" for g in groups)) if shapes else None
+    keys = {s: F.col(f"__key_{s[0]}_{s[1]}") for s in shapes}
+    judged = judged.withColumns({f"__key_{s[0]}_{s[1]}": candidate(F.col("host"), F.col("path"), s) for s in shapes})
     fits = {g: {} for g in groups}
     if shapes:
+        seen = judged.select(F.explode(F.array(*keys.values())).alias("key")).filter("key is not null").select("key", *(F.lit(False).alias(g) for g in groups))
+        own = json.dumps([{"key": k} | {g: k in of for g, of in groups.items()} for k in dict.fromkeys(k for of in groups.values() for k in of)])
+        given = pages.sparkSession.range(1).select(F.inline(F.from_json(F.lit(own), "array<struct<key:string," + ",".join(f"{g}:boolean" for g in groups) + ">>")))
         universe = staged(seen.unionByName(given).groupBy("key").agg(*(F.max(g).alias(g) for g in groups)), "urlkeys")
-        for g, own in groups.items():
-            cascade = Cascade.build(universe.select("key", F.col(g).alias("listed")), max_bits) if own else Cascade([])
-            for s in sorted({shape(k) for k in own}):
+        for g, of in groups.items():
+            cascade = Cascade.build(universe.select("key", F.col(g).alias("listed")), max_bits) if of else Cascade([])
+            for s in sorted({shape(k) for k in of}):
+                flag = f"__{g}_{s[0]}_{s[1]}"
                 if cascade is not None:
-                    fits[g][s] = cascade.contains(keys[s])
+                    judged = judged.withColumn(flag, cascade.contains(keys[s]))
                 else:
-                    flag, by = f"__{g}_{s[0]}_{s[1]}", f"__key_{g}_{s[0]}_{s[1]}"
-                    judged = judged.join(universe.filter(g).select(F.col("key").alias(by), F.lit(True).alias(flag)), keys[s] == F.col(by), "left").drop(by)
-                    fits[g][s] = F.coalesce(F.col(flag), F.lit(False))
+                    judged = judged.join(universe.filter(g).select(F.col("key").alias("__by"), F.lit(True).alias(flag)), keys[s] == F.col("__by"), "left").drop("__by")
+                fits[g][s] = F.coalesce(F.col(flag), F.lit(False))
     false, null = F.lit(False), F.lit(None).cast("string")
     best = F.array(*(F.when(fits["allow"].get(s, false) | fits["block"].get(s, false), F.struct((F.length(keys[s])).alias("n"), F.lit(-s[1]).alias("m"), fits["allow"].get(s, false).alias("allow"), keys[s].alias("rule"))) for s in sorted({*fits["allow"], *fits["block"]})))
     judged = judged.withColumn("__rule", F.array_max(best) if rules else F.lit(None).cast("struct<allow:boolean,rule:string>"))
@@ -138,7 +139,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, list
     rule = F.col("__rule")
     verdict = F.when(rule.isNotNull(), F.when(rule["allow"], "allow").otherwise("block")).when(on_list, "block").otherwise("allow")
     judged = judged.withColumns({"rule": F.coalesce(rule["rule"], null), "verdict": verdict})
-    return judged.drop("__rule", *(c for c in judged.columns if c.startswith(("__allow_", "__block_", "__listed_"))))
+    return judged.drop("__rule", *(c for c in judged.columns if c.startswith(("__key_", "__allow_", "__block_", "__listed_"))))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
