@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, url_filter
+from . import chat_format, langid, mixing, packing, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op4_simhash": simhash.op4_simhash,
+    "op6_packing": packing.op6_packing,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op9_langid": langid.op9_langid,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
