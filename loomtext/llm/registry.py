@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, langid, mixing, packing, simhash, url_filter
+from . import ann, bitsliced, chat_format, langid, mixing, packing, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_ann": ann.op2_ann,
     "op4_simhash": simhash.op4_simhash,
+    "op5_bitsliced": bitsliced.op5_bitsliced,
     "op6_packing": packing.op6_packing,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_langid": langid.op9_langid,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
+    "op5_bitsliced": bitsliced.OP5_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
