@@ -101,7 +101,7 @@ def _rank(k: int, second: int) -> Callable:
     return rank
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.55, sample: int = 20_000, centroids: int | None = None, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.6, sample: int = 20_000, centroids: int | None = None, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows (vec_id, embedding) that is_query selects, against all rows."""
     spark = vectors.sparkSession
     rows = staged(sound(vectors).filter(F.exists("v", lambda x: x != 0)), "vectors")
@@ -112,7 +112,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.5
         return empty
     fit = unit(np.stack([np.asarray(r["v"]) for r in index.orderBy(F.xxhash64("v"), "v").limit(sample).select("v").collect()]))
     half = (fit.shape[1] + 1) // 2
-    size = centroids or max(2, min(256, math.isqrt(n // 10)))
+    size = centroids or max(2, min(256, math.isqrt(n // 4)))
     books = [kmeans(fit[:, :half], size), kmeans(fit[:, half:] if half < fit.shape[1] else np.zeros((len(fit), 1)), size)]
     halves = lambda x: (x[:, :half], x[:, half:] if half < x.shape[1] else np.zeros((len(x), 1)))
 

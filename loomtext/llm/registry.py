@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bitsliced, chat_format, langid, mixing, packing, simhash, url_filter
+from . import ann, bitsliced, chat_format, langid, lm, mixing, packing, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_bitsliced": bitsliced.op5_bitsliced,
     "op6_packing": packing.op6_packing,
+    "op7_lm_score": lm.op7_lm_score,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_langid": langid.op9_langid,
     "op10_mixing": mixing.op10_mixing,
