@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, bitsliced, chat_format, langid, lm, mixing, packing, simhash, url_filter
+from . import ann, bitsliced, chat_format, html_template, langid, lm, mixing, packing, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_ann": ann.op2_ann,
+    "op3_html_template": html_template.op3_html_template,
     "op4_simhash": simhash.op4_simhash,
     "op5_bitsliced": bitsliced.op5_bitsliced,
     "op6_packing": packing.op6_packing,
