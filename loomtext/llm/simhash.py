@@ -10,6 +10,11 @@ of leaf nodes is a block for one task, which walks the lower trie of that pair i
 forest of the links it finds, not the links, so that a dense group of m fingerprints gives fewer than m rows. The bits
 are taken in an order that puts the most evenly set ones first, which keeps nodes even.
 
+Wider fingerprints (several words of 64 bits) and larger budgets use several tries, one for each block of the first
+word's bits: fingerprints that differ in fewer than (block budget + 1) * tables of these 64 bits differ in at most the
+block budget within some block, where a walk of that block's bits meets them; the pair then counts if all words together
+differ in at most the budget.
+
 Components are joined up by alternating large-star and small-star steps over tables in the shared folder. Copies of one
 text share a fingerprint and enter once.
 
@@ -21,6 +26,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,43 +39,51 @@ from .common import staged, table
 BITS, CHUNK = 64, 1 << 16
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Unsigned."""
+def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
+    """Unsigned words of the fingerprint; the first is by the hashes themselves, the others by scramblings of them."""
     found = (text or "").encode(errors="surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space count
     if not found:
-        return 0
-    n, counts = max(1, len(found) - words + 1), np.zeros(BITS, np.int64)
+        return [0] * words
+    n, counts = max(1, len(found) - shingle + 1), np.zeros((words, BITS), np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for a in range(0, n, CHUNK):
-        own = found[a : a + CHUNK + words - 1]
-        shingles = zip(*(own[i:] for i in range(words))) if n > 1 or len(found) == words else [own]
+        own = found[a : a + CHUNK + shingle - 1]
+        shingles = zip(*(own[i:] for i in range(shingle))) if len(found) >= shingle else [own]
         h = np.array([digest(join(x), 42) for x in shingles], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+        for w in range(words):
+            counts[w] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return [int.from_bytes(np.packbits(c * 2 > n, bitorder="little").tobytes(), "little") for c in counts]
 
 
-def fingerprints(texts: Column, words: int = 3) -> Column:
-    """As long: the unsigned fingerprint's bits."""
+def fingerprints(texts: Column, shingle: int = 3, words: int = 1) -> Column:
+    """As array<long>: the unsigned words' bits."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("array<long>")
     def of(part: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(x, words) for x in part], np.uint64).view(np.int64))
+        return pd.Series(list(np.array([fingerprint(x, shingle, words) for x in part], np.uint64).reshape(-1, words).view(np.int64)))
 
     return of(texts)
 
 
-def walk(a: np.ndarray, b: np.ndarray, same: bool, budget: int, small: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs into sorted a and b whose values differ in at most budget bits. same: b is a; each pair comes once."""
+def walk(a: np.ndarray, b: np.ndarray, same: bool, budget: int, depth: int = BITS, small: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs into sorted a and b whose upper depth bits may differ in at most budget bits, and at any rate all that
+    do. same: b is a; each pair comes once."""
     todo = [(0, len(a), 0, len(b), BITS - 1, budget, same)]
     while todo:
         p, q, r, s, bit, left, own = todo.pop()
         if p == q or r == s:
             continue
-        if bit < 0 or (q - p) * (s - r) <= small:
-            near = np.bitwise_count(a[p:q, None] ^ b[None, r:s]) <= budget
-            x, y = np.nonzero(np.triu(near, 1) if own else near)
-            if len(x):
-                yield x + p, y + r
+        if bit < BITS - depth or (q - p) * (s - r) <= small:
+            step = max(1, (1 << 20) // (s - r))
+            for x in range(p, q, step):
+                near = np.bitwise_count((a[x : min(q, x + step), None] ^ b[None, r:s]) >> np.uint64(BITS - depth)) <= budget
+                i, j = np.nonzero(near)
+                i, j = i + x, j + r
+                if own:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    yield i, j
             continue
         mask = np.uint64(1 << bit)
         m = p + int(np.searchsorted(a[p:q] & mask, mask))
@@ -95,18 +109,18 @@ def forest(size: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndar
     return root
 
 
-def _block(budget: int):
+def _block(walked: int, depth: int, budget: int):
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         """Spanning edges of one block: the rows of its one or two nodes."""
-        side = pdf["side"].to_numpy()
-        a, b = (np.unique(pdf["key"].to_numpy()[side == k].view(np.uint64)) for k in (0, 1))
-        if len(b):
-            both = np.concatenate([a, b])
-            root = forest(len(both), ((x, y + len(a)) for x, y in walk(a, b, False, budget)))
-        else:
-            both, root = a, forest(len(a), walk(a, a, True, budget))
-        moved = np.nonzero(root != np.arange(len(both)))[0]
-        return pd.DataFrame({"u": both[root[moved]].view(np.int64), "v": both[moved].view(np.int64)})
+        order = np.lexsort((pdf["key"].to_numpy().view(np.uint64), pdf["side"].to_numpy()))
+        keys, wide, ids = pdf["key"].to_numpy().view(np.uint64)[order], np.stack(pdf["fp"].to_numpy()).view(np.uint64)[order], pdf["id"].to_numpy()[order]
+        cut = int((pdf["side"].to_numpy() == 0).sum())
+        a, b = keys[:cut], keys[cut:]
+        met = ((x, y + cut) for x, y in walk(a, b, False, walked, depth)) if len(b) else walk(a, a, True, walked, depth)
+        close = lambda x, y: np.bitwise_count(wide[x] ^ wide[y]).sum(1, dtype=np.int64) <= budget
+        root = forest(len(keys), ((x[near], y[near]) for x, y in met for near in [close(x, y)]))
+        moved = np.nonzero(root != np.arange(len(keys)))[0]
+        return pd.DataFrame({"u": ids[root[moved]], "v": ids[moved]})
 
     return links
 
@@ -160,20 +174,29 @@ def node_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[tuple[i
     return out
 
 
-def links(distinct: DataFrame, budget: int = 2, most: int = 8192, depth: int = 14) -> DataFrame:
-    """Spanning edges (u, v) of fingerprints `fp` within budget differing bits."""
-    total, *ones = distinct.agg(F.count("*"), *(F.sum(F.getbit("fp", F.lit(i)).cast("long")) for i in range(BITS))).first()
+
+def links(distinct: DataFrame, budget: int = 2, tables: int = 1, walked: int | None = None, most: int = 8192, depth: int = 14) -> DataFrame:
+    """Spanning edges (u, v) by id of distinct (id, fp: words) within budget differing bits. tables: tries, each over a
+    block of the first word's bits with `walked` differing bits at most (unset: the budget)."""
+    walked = budget if walked is None else walked
+    first = F.get("fp", F.lit(0))
+    total, *ones = distinct.agg(F.count("*"), *(F.sum(F.getbit(first, F.lit(i)).cast("long")) for i in range(BITS))).first()
+    none = distinct.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
     if not total:
-        return distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
-    order = sorted(range(BITS), key=lambda i: (abs(ones[i] * 2 - total), i))
-    keyed = distinct.select(permuted(F.col("fp"), order).alias("key"))
+        return none
+    even = sorted(range(BITS), key=lambda i: (abs(ones[i] * 2 - total), i))
+    return reduce(DataFrame.unionByName, (_links(distinct, even[t::tables] + [x for x in even if x not in even[t::tables]], BITS // tables, budget, walked, most, min(depth, BITS // tables)) for t in range(tables)), none)
+
+
+def _links(distinct: DataFrame, order: list[int], bits: int, budget: int, walked: int, most: int, depth: int) -> DataFrame:
+    keyed = distinct.select("id", "fp", permuted(F.get("fp", F.lit(0)), order).alias("key"))
     top = F.shiftrightunsigned("key", BITS - depth)
     # At most 2 ** depth rows of counts, however many fingerprints there are.
     counts = {r["top"]: r["count"] for r in keyed.groupBy(top.alias("top")).count().collect()}
     leaves = nodes(counts, depth, most)
     number = {x: i for i, x in enumerate(leaves)}
     blocks: list[list[tuple[int, int]]] = [[] for _ in leaves]
-    for k, (a, b) in enumerate(node_pairs(leaves, budget)):
+    for k, (a, b) in enumerate(node_pairs(leaves, walked)):
         blocks[number[a]].append((k, 0))
         if a != b:
             blocks[number[b]].append((k, 1))
@@ -190,18 +213,11 @@ def links(distinct: DataFrame, budget: int = 2, most: int = 8192, depth: int = 1
             leaf = of_top[(keys.view(np.uint64) >> np.uint64(BITS - depth)).astype(np.int64)]
             times = sizes[leaf]
             at = np.repeat(first[leaf] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-            yield pd.DataFrame({"block": to[at, 0], "side": to[at, 1].astype(np.int32), "key": np.repeat(keys, times)})
+            out = part.iloc[np.repeat(np.arange(len(part)), times)]
+            yield out.assign(block=to[at, 0], side=to[at, 1].astype("int32"))
 
-    found = keyed.mapInPandas(spread, "block long, side int, key long").groupBy("block").applyInPandas(_block(budget), "u long, v long")
-    back = sorted(range(BITS), key=lambda to: order[to])  # the place of each bit
-    return found.select(*(permuted_back(F.col(c), back).alias(c) for c in "uv"))
-
-
-def permuted_back(key: Column, place: list[int]) -> Column:
-    out = F.lit(0).cast("long")
-    for bit, to in enumerate(place):
-        out = out.bitwiseOR(F.shiftleft(F.getbit(key, F.lit(BITS - 1 - to)).cast("long"), bit))
-    return out
+    spread_out = keyed.mapInPandas(spread, "id long, fp array<long>, key long, block long, side int")
+    return spread_out.groupBy("block").applyInPandas(_block(walked, bits, budget), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,16 +237,26 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) of each row (doc_id, text)."""
-    rows = staged(docs.select("doc_id", fingerprints(F.col("text"), words).alias("fp")), "fingerprints")
-    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    named = components(links(distinct.select("fp"), budget)).select(F.col("v").alias("fp"), "root")
-    groups = distinct.join(named, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, budget: int = 2, tables: int = 1, walked: int | None = None, most: int = 8192) -> DataFrame:
+    """(doc_id, fp, component_id) of each row (doc_id, text). With one word a fingerprint is its own id, with more a
+    64-bit hash of them is."""
+    rows = docs.select("doc_id", fingerprints(F.col("text"), shingle, words).alias("fp"))
+    rows = staged(rows.withColumn("id", F.get("fp", F.lit(0)) if words == 1 else F.xxhash64("fp")), "fingerprints")
+    distinct = staged(rows.groupBy("id", "fp").agg(F.min("doc_id").alias("least")), "distinct")
+    named = components(links(distinct.select("id", "fp"), budget, tables, walked, most)).select(F.col("v").alias("id"), "root")
+    groups = distinct.join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = staged(groups.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_id = staged(groups.select("id", "root").join(least, "root").select("id", "component_id"), "classes")
+    return rows.join(by_id, "id").select("doc_id", "fp", "component_id")
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
+    """near_duplicates whose fingerprints agree in `similarity` of 64 * words bits. Four tries over 16 bits each, walked
+    with three differing bits, meet every pair with up to 15 differing bits in the first word, where pairs at 0.8 of
+    256 bits differ in 12.8 on average."""
+    return near_duplicates(docs, shingle, words, int(BITS * words * (1 - similarity)), 4, 3, 1 << 15)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
