@@ -49,4 +49,4 @@ def allowed_only(ids: Column, allowed: Column) -> Column:
 def tolerant_json(payload: Column, schema: str) -> Column:
     """JSON out of an answer that may wrap it in a fence or a sentence."""
     body = F.regexp_extract(payload, r"(?s)([\{\[].*[\}\]])", 1)
-    return F.coalesce(F.from_json(payload, schema), F.from_json(body, schema))
+    return F.from_json(F.when(body != "", body).otherwise(payload), schema)
