@@ -7,7 +7,7 @@ and its total, so that equal vectors are found by one aggregation however many p
 half of a host's pages are valid if every path in them hangs below a path of the same or another valid class, and every
 text has the vector of a path; the valid classes, nested by their paths, are the host's template.
 
-The template decides the main slot: an article or main element that holds half of the text, or else the deepest
+The template decides the main slot: an article or main element that holds half of the text beside template texts, or else the deepest
 element that holds almost all of it. Elements that are menus, headers, footers, sidebars, notices, adverts, forms or
 comments by name, class, id or role are not text; nor are template texts, unless they are over half of a page's slot
 (pages that are copies of each other). A host's page that lacks the slot, and a host with a single page, go by the
@@ -182,7 +182,8 @@ def _template(pdf: pd.DataFrame) -> pd.DataFrame:
             valid |= set(paths)
             kept.append(vector)
     texts = [int(t) for v in kept if pages > 2 and v[1] >= 0.9 * pages for p, t in classes[v] if p is None]
-    whole = max(chars.get("", 0), 1)
+    constant = set(map(str, texts))
+    whole = max(chars.get("", 0) - int(pdf.loc[pdf["token"].isin(constant) & pdf["path"].isna(), "chars"].sum()), 1)
     named = [p for p in valid if re.match(r"(?:article|main)(?:\.|$)", p.rpartition("/")[2]) and chars[p] >= 0.5 * whole]
     deep = [p for p in valid if p and chars[p] >= 0.97 * whole and re.match(r"(?:div|section|body|td|center|html)(?:\.|$)", p.rpartition("/")[2])]
     main = max(named, key=lambda p: (chars[p], -len(p), p)) if named else max(deep, key=lambda p: (len(p), p)) if deep else ""
