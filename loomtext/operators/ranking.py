@@ -77,7 +77,7 @@ def score(text: Column, base: Column, hints=(), must=(), should=(), avoid=(), se
     return F.greatest(F.lit(0.0), total - hit_score(text, avoid) * w["avoid"])
 
 
-def title_bonus(path: Column, terms: Sequence[str], tails: Sequence[str], least: int = 8) -> Column:
+def title_bonus(path: Column, terms: Sequence[str], tails: Sequence[str], least: int = 6) -> Column:
     """For a path part that names a term, more if the part ends like a work's name."""
     own = [t.replace(" ", "") for t in terms if len(t) >= least]
     if not own:
