@@ -17,9 +17,10 @@ def coverage(whole: DataFrame, parts: DataFrame, key: str, group: list[str]) ->
     return out.filter("covered > 0").withColumn("percent", F.round(100.0 * F.col("covered") / F.col("n"), 2))
 
 
-def interior_median(rows: DataFrame, group: str, order: str, value: Column, least: int = 20) -> DataFrame:
-    """The median of rows whose neighbours in the group are both the next positions, in groups with enough of them."""
-    w = Window.partitionBy(group).orderBy(order)
+def interior_median(rows: DataFrame, group: str, order: str, value: Column, least: int = 20, within: tuple[str, ...] = ()) -> DataFrame:
+    """The median of rows whose neighbours in the group are both the next positions, in groups with enough of them.
+    within: what neighbours share besides, which keeps a large group from one task."""
+    w = Window.partitionBy(group, *within).orderBy(order)
     inner = rows.withColumn("__v", value).filter("__v is not null").withColumn("__in", (F.lag(order).over(w) == F.col(order) - 1) & (F.lead(order).over(w) == F.col(order) + 1))
     return inner.filter("__in").groupBy(group).agg(F.count("*").alias("n"), F.percentile("__v", F.lit(0.5)).alias("median")).filter(F.col("n") >= least)
 

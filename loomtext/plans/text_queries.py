@@ -312,8 +312,8 @@ def ordered_concat_gap_count(t):
 @query("interior_median_baseline", f'''WITH {PASSAGES}, n AS (SELECT source, doc_id * 100000 + sort_order AS pos, length(text) AS v FROM passages WHERE length(text) > 0), i AS (SELECT source, v, lag(pos) OVER (PARTITION BY source ORDER BY pos) AS b, lead(pos) OVER (PARTITION BY source ORDER BY pos) AS a, pos FROM n)
 SELECT source, count(*) AS n, CAST(median(v) AS DOUBLE) AS median FROM i WHERE b = pos - 1 AND a = pos + 1 GROUP BY source HAVING count(*) >= 20''')
 def interior_median_baseline(t):
-    rows = t("passages").select("source", (F.col("doc_id") * 100000 + F.col("sort_order")).alias("at"), F.length("text").alias("n_")).filter("n_ > 0")
-    return U.interior_median(rows, "source", "at", F.col("n_"))
+    rows = t("passages").select("source", "doc_id", (F.col("doc_id") * 100000 + F.col("sort_order")).alias("at"), F.length("text").alias("n_")).filter("n_ > 0")
+    return U.interior_median(rows, "source", "at", F.col("n_"), within=("doc_id",))
 
 
 @query("vocab_freq5", f"WITH {PASSAGES}, {folded()}, w AS (SELECT unnest(string_split(folded, ' ')) AS word FROM f) SELECT word, count(*) AS n FROM w WHERE length(word) >= 2 GROUP BY word HAVING count(*) >= 5")

@@ -61,8 +61,8 @@ def test_prune_path(spark):
 
 def test_match_predicates(spark):
     text = F.col("t")
-    df = spark.createDataFrame([("sabbe sankhara anicca",), ("sankharanam dukkha",), ("other words",)], "t string")
-    got = df.select(retrieval.has_prefix(text, "sankhar"), retrieval.has_stem(text, "sankhara"), retrieval.has_stem(text, "sankhara anicca"), retrieval.all_prefixes(text, ["sabbe anicca"]), retrieval.adjacent(text, ["sabb", "sank"])).collect()
+    df = spark.createDataFrame([("every river bends",), ("rivers flow",), ("other words",)], "t string")
+    got = df.select(retrieval.has_prefix(text, "rive"), retrieval.has_stem(text, "river"), retrieval.has_stem(text, "river bends"), retrieval.all_prefixes(text, ["every bends"]), retrieval.adjacent(text, ["ever", "riv"])).collect()
     assert [tuple(r) for r in got] == [(True, True, True, True, True), (True, True, False, False, False), (False,) * 5]
     assert retrieval.chains("a b c".split()) == [["a", "b", "c"]]
     assert [len(c) for c in retrieval.chains([str(i) for i in range(12)])] == [6, 6, 4]
@@ -87,7 +87,7 @@ def test_scores(spark):
     assert one(ranking.exact_rank(t, ["alpha beta gamma", "x y z"])) == 1.5
     assert one(ranking.exact_density(t, ["alpha beta gamma"])) == pytest.approx(16 / 22)
     assert one(ranking.score(t, F.lit(0.1), ["alpha"], [], [], ["alpha", "beta"])) == pytest.approx(0.1 + 0.22 + 0.38 * 0.55 - 0.3)
-    assert one(ranking.title_bonus(F.array(F.lit("Mahasatipatthanasutta"), F.lit("x")), ["satipatthana"], ("sutta",))) == 1.5
+    assert one(ranking.title_bonus(F.array(F.lit("Mahacandimasutta"), F.lit("x")), ["candima"], ("sutta",))) == 1.5
     assert one(ranking.bonus(F.lit("mul"), F.lit(1.5), F.lit(0.5))) == pytest.approx(0.28 + 1.25 * 1.5 + 0.6)
 
 
@@ -101,8 +101,8 @@ def test_dedup_collapse_diversify(spark):
 
 
 def test_ladder_and_paging(spark):
-    assert ranking.query_ladder("find the snake, snake house") == ["find snake, snake house", "snake find house", "snake find", "snake"]
-    assert ranking.query_ladder("snake") == []
+    assert ranking.query_ladder("seek the lamp, lamp oil") == ["seek lamp, lamp oil", "lamp seek oil", "lamp seek", "lamp"]
+    assert ranking.query_ladder("lamp") == []
     df = spark.range(30)
     assert [r["id"] for r in ranking.page(df, [F.desc("id")], 2, 5).orderBy("rank").collect()] == [24, 23, 22, 21, 20]
     events = df.select(F.lit(1).alias("ts"), "id")

@@ -10,7 +10,7 @@ def one(spark, expression, **values):
     return row.select(expression).first()[0]
 
 
-@pytest.mark.parametrize("given, want", [("Sabbe  Saṅkhārā, ANICCĀ!", "sabbe sankhara anicca"), ("pa­li​ x", "pali x"), ("  ", ""), ("a-b_c", "a-b_c"), (None, None)])
+@pytest.mark.parametrize("given, want", [("Dīghā  Rātti, CANDĀ!", "digha ratti canda"), ("le\u00adm\u200bon x", "lemon x"), ("  ", ""), ("a-b_c", "a-b_c"), (None, None)])
 def test_fold(spark, given, want):
     assert one(spark, T.fold(F.col("x").cast("string")), x=given) == want
     if given:
@@ -18,7 +18,7 @@ def test_fold(spark, given, want):
 
 
 def test_compose_joins_decomposed_letters(spark):
-    assert one(spark, T.fold(T.compose(F.col("x"))), x="saṅkhārā") == "sankhara"
+    assert one(spark, T.fold(T.compose(F.col("x"))), x="ran\u0307ga\u0304") == "ranga"
 
 
 @pytest.mark.parametrize("given, want", [("Đường về", "duong ve"), ("crème", "creme"), ("plain", "plain")])
