@@ -255,9 +255,11 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: i
     """near_duplicates by the Jaccard similarity of texts' shingles, as their fingerprints tell it: sets of one size with
     Jaccard similarity s differ in the share arccos(2 s / (1 + s)) / pi of their bits; texts are linked up to one standard
     deviation beyond that share. Four tries over 16 bits each, walked with three differing bits, meet every pair with up
-    to 15 differing bits in the first word, where pairs at 0.8 differ in 9.7 on average."""
+    to 15 differing bits in the first word, where pairs at 0.8 differ in 9.7 on average. At three of
+    so few bits nearly all nodes are neighbours, so a fingerprint goes to about as many blocks as there are nodes: nodes
+    are as large as a task can hold."""
     bits, share = BITS * words, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return near_duplicates(docs, shingle, words, math.ceil(bits * share + math.sqrt(bits * share * (1 - share))), 4, 3, 1 << 15)
+    return near_duplicates(docs, shingle, words, math.ceil(bits * share + math.sqrt(bits * share * (1 - share))), 4, 3, 1 << 17)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
