@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomtext import reachable
 from loomtext.llm import langid, mixing, packing, simhash
 from loomtext.llm.common import staged
 
@@ -19,6 +20,7 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known. Those go whose text is null or has no letter, or whose best language has a
     posterior under a half."""
+    reachable(spark)
     model = langid.train(docs.filter(~langid.split_fold(F.col("doc_id"))))
     found = langid.predictor(spark, model)(F.col("text"))
     if not model.langs:  # nothing to learn from: only texts without a letter can be told apart
@@ -29,6 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8. The smallest id stays. Of rows
     with one id, one stays, the first by text; rows without an id stay."""
+    reachable(spark)
     found = staged(simhash.similar(docs).select("doc_id", "component_id").filter("doc_id is not null"), "groups")
     kept = docs.join(found.filter("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
     twice = staged(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
@@ -47,6 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
+    reachable(spark)
     return packing.pack(docs)
 
 
