@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_fold, table
+from .common import doc_fold, most_frequent, staged, table
 
 WORDS = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
@@ -37,23 +37,16 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def _counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(kind, gram, lang, count): kind 0 words, else the gram's order. Memory is bounded by FLUSH distinct words."""
+    """(gram, lang, n) of the words. Memory is bounded by FLUSH distinct words."""
     words: dict[str, Counter] = {}
 
     def flush() -> pd.DataFrame:
-        out: Counter = Counter()
-        for lang, own in words.items():
-            for w, c in own.items():
-                out[0, w, lang] += c
-                for n in ORDERS:
-                    for g in grams(w, n):
-                        out[n, g, lang] += c
+        out = pd.DataFrame({"gram": [w for own in words.values() for w in own], "lang": [x for x, own in words.items() for _ in own], "n": np.array([c for own in words.values() for c in own.values()], np.int64)})
         words.clear()
-        keys = list(out)
-        return pd.DataFrame({"kind": np.array([k for k, _, _ in keys], np.int32), "gram": [g for _, g, _ in keys], "lang": [x for _, _, x in keys], "n": np.fromiter(out.values(), np.int64, len(keys))})
+        return out
 
-    size = 0
     for part in parts:
+        size = 0
         for text, lang in zip(part["text"], part["lang"]):
             own = words.setdefault(lang, Counter())
             size -= len(own)
@@ -62,81 +55,100 @@ def _counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if size > FLUSH:
                 yield flush()
                 size = 0
+        if sum(map(len, words.values())) > FLUSH // 2:
+            yield flush()
     if words:
         yield flush()
 
 
+def _grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(kind, gram, lang, n) of the words' grams; kind is the gram's order."""
+    for part in parts:
+        out: Counter = Counter()
+        for w, lang, c in zip(part["gram"], part["lang"], part["n"]):
+            for n in ORDERS:
+                for g in grams(w, n):
+                    out[n, g, lang] += c
+        yield pd.DataFrame({"kind": np.array([k[0] for k in out], np.int32), "gram": [k[1] for k in out], "lang": [k[2] for k in out], "n": np.fromiter(out.values(), np.int64, len(out))})
+
+
 class Model:
+    """rows: log shares of the known words, and behind them those of unseen words met so far."""
+
     def __init__(self, langs: list[str], prior: np.ndarray, tables: dict[int, tuple[list[str], np.ndarray]]):
-        """tables: by kind, the grams and their rows of log shares."""
+        """tables: by kind (0: words, else the grams' order), the grams and their rows of log shares."""
         self.langs, self.prior = langs, prior
-        self.index = {k: {g: i for i, g in enumerate(names)} for k, (names, _) in tables.items()}
-        self.rows = {k: rows for k, (_, rows) in tables.items()}
-        self.cache: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        at = self.index.get(0, {}).get(w)
-        if at is not None:
-            return self.rows[0][at]
-        got = self.cache.get(w)
-        if got is None:
-            got = np.zeros(len(self.langs), np.float32)
-            for n in ORDERS:
-                known = [i for i in map(self.index.get(n, {}).get, grams(w, n)) if i is not None]
-                if known:
-                    got = self.rows[n][known].mean(axis=0)
-                    break
-            if len(self.cache) >= KEPT:
-                self.cache.clear()
-            self.cache[w] = got
-        return got
+        self.known = {w: i for i, w in enumerate(tables[0][0])} if tables else {}
+        self.words = tables[0][1] if tables else np.zeros((0, 0), np.float32)
+        self.grams = {n: {g: i for i, g in enumerate(tables[n][0])} for n in ORDERS} if tables else {}
+        self.gram_rows = {n: tables[n][1] for n in ORDERS} if tables else {}
+        self.met: dict[str, int] = {}
+        self.rows: np.ndarray | None = None
+
+    def unseen(self, w: str) -> np.ndarray:
+        for n in ORDERS:
+            get = self.grams[n].get
+            at = [i for i in map(get, grams(w, n)) if i is not None]
+            if at:
+                return self.gram_rows[n][at].sum(axis=0) / len(at)
+        return np.zeros(len(self.langs), np.float32)
+
+    def at(self, words: list[str]) -> list[int]:
+        """Places in rows."""
+        if self.rows is None or len(self.met) + len(words) > KEPT:
+            self.met.clear()
+        if self.rows is None or len(self.words) + len(self.met) + len(words) > len(self.rows):
+            held = self.words if self.rows is None else self.rows[: len(self.words) + len(self.met)]
+            self.rows = np.concatenate([held, np.zeros((max(len(held) // 2, len(words), 1000), len(self.langs)), np.float32)])
+        get, met, first = self.known.get, self.met, len(self.words)
+        out = []
+        for w in words:
+            i = get(w)
+            if i is None:
+                i = met.get(w)
+                if i is None:
+                    i = met[w] = first + len(met)
+                    self.rows[i] = self.unseen(w)
+            out.append(i)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = Counter(WORDS.findall(text.lower())) if text and self.langs else None
         if not found:
             return "und", 0.0
-        known, rows = self.index.get(0, {}), self.prior.copy()
-        at, times, rest = [], [], []
-        for w, c in found.items():
-            i = known.get(w)
-            if i is None:
-                rest.append((w, c))
-            else:
-                at.append(i)
-                times.append(c)
-        if at:
-            rows += np.asarray(times, np.float64) @ self.rows[0][at]
-        for w, c in rest:
-            rows += c * self.word(w)
+        at = self.at(list(found))
+        rows = self.prior + np.fromiter(found.values(), np.float64, len(found)) @ self.rows[at]
         best = int(rows.argmax())
         return self.langs[best], float(1 / np.exp(np.minimum(rows - rows[best], 0)).sum())
 
 
-def train(docs: DataFrame, max_words: int = 30_000, max_grams: int = 40_000, max_langs: int = 200) -> Model:
+def train(docs: DataFrame, max_words: int = 100_000, max_grams: int = 40_000, max_langs: int = 200) -> Model:
     """Model of rows (text, lang)."""
     known = docs.select("text", "lang").filter("text is not null and lang is not null")
-    counts = known.mapInPandas(_counts, "kind int, gram string, lang string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
     shares = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).toPandas()
     langs = sorted(shares["lang"])
     if not langs:
         return Model([], np.zeros(0), {})
     prior = np.log(shares.set_index("lang").loc[langs, "count"].to_numpy(np.float64) / shares["count"].sum())
-    by = counts.filter(F.col("lang").isin(langs)).groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    total = lambda rows, *keys: rows.groupBy(*keys).agg(F.sum("n").alias("n"))
+    words = staged(total(known.filter(F.col("lang").isin(langs)).mapInPandas(_counts, "gram string, lang string, n long"), "gram", "lang"), "words")
+    parts = staged(total(words.mapInPandas(_grams, "kind int, gram string, lang string, n long"), "kind", "gram", "lang"), "grams")
     column = {x: j for j, x in enumerate(langs)}
     tables = {}
-    by = by.persist()
-    totals = {(r["kind"], r["lang"]): r["n"] for r in by.select("kind", F.inline("by")).groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     for kind, most in ((0, max_words), *((n, max_grams // len(ORDERS)) for n in ORDERS)):
-        rows = by.filter(F.col("kind") == kind).orderBy(F.desc("all"), "gram").limit(most).collect()
+        own = words if kind == 0 else parts.filter(F.col("kind") == kind).drop("kind")
+        size = {r["lang"]: r["n"] for r in total(own, "lang").collect()}
+        by = own.groupBy("gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
+        rows = sorted(most_frequent(by, "all", most).collect(), key=lambda r: r["gram"])
         count = np.zeros((len(rows), len(langs)))
         for i, r in enumerate(rows):
             for x in r["by"]:
                 count[i, column[x["lang"]]] = x["n"]
-        total = np.array([totals.get((kind, x), 0) for x in langs], np.float64)
-        logs = np.log((count + 0.5) / (total + 0.5 * (len(rows) + 1)))
-        logs -= np.log(np.exp(logs - logs.max(1, keepdims=True)).sum(1, keepdims=True)) + logs.max(1, keepdims=True) if len(rows) else 0
+        logs = np.log((count + 0.5) / (np.array([size.get(x, 0) for x in langs], np.float64) + 0.5 * (len(rows) + 1)))
+        if len(rows):
+            top = logs.max(1, keepdims=True)
+            logs -= np.log(np.exp(logs - top).sum(1, keepdims=True)) + top
         tables[kind] = ([r["gram"] for r in rows], logs.astype(np.float32))
-    by.unpersist()
     return Model(langs, prior, tables)
 
 
