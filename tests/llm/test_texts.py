@@ -227,6 +227,20 @@ def test_most_frequent_is_bounded(spark):
     assert most_frequent(df, "n", 3).count() == 0
 
 
+def jaccard(a, b, k=5):
+    cut = lambda t: {tuple(w[i : i + k]) for w in [t.lower().split()] for i in range(max(1, len(w) - k + 1))}
+    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+
+
+def test_repeated_common_line_is_no_near_duplicate(spark):
+    rng = random.Random(5)
+    line = " ".join(f"common{i}" for i in range(14))
+    texts = [" ".join([line] * 10 + [f"own{k}x{rng.randrange(10**6)}" for _ in range(100)]) for k in range(12)]
+    assert max(jaccard(a, b) for a, b in itertools.combinations(texts, 2)) < 0.2
+    got = simhash.similar(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in got) and len(got) == 12
+
+
 def page(i, body, host="a.example.com", extra=""):
     return (i, f"https://{host}/en/{i}", f"<html><head><title>t{i}</title><script>var a='</p>';</script></head><body><nav><ul><li><a href='/x'>menu {i}</a></li></ul></nav><div class='ad'>buy {i}</div>{extra}<article><h1>Title {i}</h1>{body}</article><div id='comments'><p>reader {i} says</p></div><footer>&copy; {i}</footer></body></html>")
 
