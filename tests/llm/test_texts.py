@@ -241,6 +241,24 @@ def test_repeated_common_line_is_no_near_duplicate(spark):
     assert all(r["doc_id"] == r["component_id"] for r in got) and len(got) == 12
 
 
+def test_near_duplicates_are_all_found(spark):
+    rng, texts = random.Random(6), []
+    for k in range(40):  # exactly 0.8: 8 of 10 shingles, by words at the end
+        base = [f"w{k}x{i}" for i in range(13)]
+        texts += [" ".join(base), " ".join(base[:12] + [f"z{k}"]), " ".join(base[:8])]
+    for k in range(20):  # sets of 4 and 5, of 12 and 15 shingles
+        base = [f"s{k}x{i}" for i in range(19)]
+        texts += [" ".join(base[:9]), " ".join(base[1:9]), " ".join(base), " ".join(base[:16])]
+    for k in range(6):  # one set of shingles, one text with a line many times; and a dense group
+        line, own = [f"l{k}x{i}" for i in range(10)], [f"o{k}x{i}" for i in range(60)]
+        texts += [" ".join(own + line * 2), " ".join(own + line * 12)]
+        texts += [" ".join(own[:i] + ["edit"] + own[i + 1 :]) for i in range(0, 60, 6)]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    roots = reach(texts, lambda a, b: jaccard(a, b) >= 0.8)
+    assert [got[i] for i in range(len(texts))] == roots
+
+
 def page(i, body, host="a.example.com", extra=""):
     return (i, f"https://{host}/en/{i}", f"<html><head><title>t{i}</title><script>var a='</p>';</script></head><body><nav><ul><li><a href='/x'>menu {i}</a></li></ul></nav><div class='ad'>buy {i}</div>{extra}<article><h1>Title {i}</h1>{body}</article><div id='comments'><p>reader {i} says</p></div><footer>&copy; {i}</footer></body></html>")
 
