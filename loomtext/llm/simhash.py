@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import most_frequent, staged, table
 
-BITS, CHUNK = 64, 1 << 16
+BITS, CHUNK, ODD = 64, 1 << 16, 8
 
 
 def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
@@ -272,8 +272,9 @@ def sets(texts: Column, shingle: int) -> Column:
 
 
 def rarest(texts: DataFrame, shingle: int, similarity: float, sample: int = 20_000, most: int = 200_000) -> Column:
-    """struct(n, gs): the number of a text's shingles and, rarest first, as many that a text of at least this similarity
-    has one of its own among them. Rarity is counted on about `sample` of the texts by hash, and decides the cost alone:
+    """struct(n, gs, odd): the number of a text's shingles; rarest first, as many of them that a text of at least this
+    similarity has one of its own among them; and which of 64 * ODD buckets an odd number of shingles falls into: two
+    sets differ in as many shingles at least as in buckets. Rarity is counted on about `sample` of the texts by hash, and decides the cost alone:
     any one order of all shingles loses no pair."""
     every = max(1, texts.count() // sample)
     some = texts.filter(F.pmod("id", F.lit(every)) == 0).select("id", "text").dropDuplicates(["id"])
@@ -281,7 +282,7 @@ def rarest(texts: DataFrame, shingle: int, similarity: float, sample: int = 20_0
     often = most_frequent(staged(counts, "often"), "n", most).toPandas().sort_values("g")
     held = texts.sparkSession.sparkContext.broadcast((often["g"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
 
-    @F.pandas_udf("n int, gs array<long>")
+    @F.pandas_udf("n int, gs array<long>, odd array<long>")
     def of(part: pd.Series) -> pd.DataFrame:
         known, count = held.value
         out = []
@@ -290,8 +291,9 @@ def rarest(texts: DataFrame, shingle: int, similarity: float, sample: int = 20_0
             at = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
             seen = np.where(known[at] == g, count[at], 0) if len(known) else np.zeros(len(g), np.int64)
             first = len(g) - math.ceil(len(g) * similarity - 1e-9) + 1 if len(g) else 0
-            out.append((len(g), g[np.lexsort((g, seen))[:first]]))
-        return pd.DataFrame(out, columns=["n", "gs"])
+            odd = np.packbits(np.bincount(g & (BITS * ODD - 1), minlength=BITS * ODD) & 1).view(np.int64)
+            out.append((len(g), g[np.lexsort((g, seen))[:first]], odd))
+        return pd.DataFrame(out, columns=["n", "gs", "odd"])
 
     return of(F.col("text"))
 
@@ -304,7 +306,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     first held against one text for each such shingle. What these links have not joined yet is then paired by shingle
     across components, so that a dense group of m texts gives about m pairs."""
     texts = docs.select("doc_id", F.when(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.col("text")).otherwise("").alias("text")).withColumn("id", F.xxhash64("text"))
-    rows = texts.withColumn("p", rarest(texts, shingle, similarity)).select("doc_id", "id", "p.n", "p.gs")
+    rows = texts.withColumn("p", rarest(texts, shingle, similarity)).select("doc_id", "id", "p.n", "p.gs", "p.odd")
     rows = staged(rows, "rarest")
     own = rows.groupBy("id").agg(F.first("n").alias("n"), F.first("gs").alias("gs"))
     alike = Window.partitionBy("g")
@@ -314,7 +316,12 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     room = lambda n, at, m, bt: F.least(n - at, m - bt) + 1e-9 >= (n + m) * (similarity / (1 + similarity))
 
     def exact(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs.distinct(), "pairs")
+        pairs = staged(pairs.distinct(), "met")
+        ends = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct()
+        odd = staged(rows.select("id", "n", "odd").join(ends, "id", "left_semi").dropDuplicates(["id"]), "odd")
+        pairs = pairs.join(odd.select(F.col("id").alias("u"), "n", F.col("odd").alias("a")), "u").join(odd.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("odd").alias("b")), "v")
+        differ = sum(F.bit_count(F.get("a", F.lit(i)).bitwiseXOR(F.get("b", F.lit(i)))) for i in range(ODD))
+        pairs = staged(pairs.filter(differ <= (F.col("n") + F.col("m")) * ((1 - similarity) / (1 + similarity)) + 1e-9).select("u", "v"), "pairs")
         asked = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct()
         found = texts.select("id", "text").join(asked, "id", "left_semi").dropDuplicates(["id"])
         found = staged(found.select("id", sets(F.col("text"), shingle).alias("s")), "sets")
@@ -326,8 +333,9 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     roots = components(one).select(F.col("v").alias("id"), "root")
     left = met.drop("one").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     left = staged(left.withColumns({"low": F.min("root").over(alike), "high": F.max("root").over(alike)}).filter("low != high").drop("low", "high"), "left")
-    parts = left.select("g", "root").distinct()
-    apart = parts.join(parts.select("g", F.col("root").alias("other")), "g").filter("root < other")
+    parts = left.groupBy("g", "root").agg(F.max(F.col("n") - F.col("at")).alias("most"), F.min("n").alias("least"))
+    others = parts.select("g", F.col("root").alias("other"), F.col("most").alias("most2"), F.col("least").alias("least2"))
+    apart = parts.join(others, "g").filter("root < other").filter(F.least("most", "most2") + 1e-9 >= (F.col("least") + F.col("least2")) * (similarity / (1 + similarity))).select("g", "root", "other")
     twin = left.select("g", F.col("root").alias("other"), F.col("id").alias("v"), F.col("n").alias("m"), F.col("at").alias("bt"))
     rest = apart.join(left, ["g", "root"]).join(twin, ["g", "other"]).filter(room(F.col("n"), F.col("at"), F.col("m"), F.col("bt")))
     two = exact(rest.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")))
