@@ -6,14 +6,17 @@ distinct vectors, and its candidates are then ranked by exact cosine in double p
 
 The codebooks are fitted on at most `sample` distinct vectors, taken by hash; every row is indexed. Rows with one vector
 form one entry that keeps its k + 1 smallest ids, which is all that k neighbours can need, so copies cost nothing. Entries
-are dealt by first centroid in blocks of bounded size; a query goes to each first centroid it visits with the second
-centroids visited there. Codebooks and cell counts, both bounded by 256 centroids a half, are what is broadcast.
+are dealt by first centroid in blocks of bounded size and lie there by second centroid; a query goes to each first
+centroid it visits, with the second centroids visited there, and is multiplied with the entries of these cells alone.
+Codebooks and cell counts, both bounded by `most` centroids a half, are what is broadcast.
 
 Measured recall is in the README; `visit` = 1 is exact.
 
-Defined cases: rows with a null id or vector, a zero vector, null or non-finite components or another length than most
-vectors take no part, neither as query nor as candidate; rows equal in id and vector count once; ties go to the smaller
-id; with fewer candidates than k all are returned; an empty table gives no rows; other columns are ignored.
+Defined cases: rows with a null id or vector, a zero (or empty) vector, or null or non-finite components take no part,
+neither as query nor as candidate; a vector of another length than most is quantised by as many components as most have
+and ranked by its cosine over its own, missing components being zero; rows equal in id and vector count once; ties go to
+the smaller id; with fewer candidates than k all are returned; an empty table gives no rows; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,27 @@ from .vectors import sound
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1; a power of two first keeps the squares in range, without rounding."""
     x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def fitted(vectors: list[np.ndarray], length: int) -> np.ndarray:
+    """As rows of one length, cut or filled up with zeros."""
+    if all(len(v) == length for v in vectors):
+        return np.stack(vectors) if vectors else np.zeros((0, length))
+    out = np.zeros((len(vectors), length))
+    for row, v in zip(out, vectors):
+        row[: len(v)] = v[:length]
+    return out
+
+
+def units(vectors: list[np.ndarray]) -> list[np.ndarray]:
+    """Each of length 1."""
+    sizes, out = np.array([len(v) for v in vectors]), [None] * len(vectors)
+    for n in np.unique(sizes):
+        at = np.nonzero(sizes == n)[0]
+        for i, v in zip(at, unit(np.stack([vectors[i] for i in at]))):
+            out[i] = v
+    return out
 
 
 def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -79,29 +102,38 @@ def entries(vectors: DataFrame, ids: int) -> DataFrame:
     return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def _rank(k: int, second: int) -> Callable:
+def _rank(k: int) -> Callable:
     def rank(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "qh": [], "vec_id": [], "score": []})
-        e, q = unit(np.stack(left["v"].to_numpy())), unit(np.stack(right["v"].to_numpy()))
-        open_ = np.zeros((len(q), second), bool)
-        for i, c in enumerate(right["c2"]):
-            open_[i, c] = True
-        near = np.where(open_[:, left["c2"].to_numpy()], q @ e.T, -np.inf)
-        out, ids, first = [], left["ids"].to_numpy(), np.array([x[0] for x in left["ids"]])
-        for i, (qid, qh) in enumerate(zip(right["qid"], right["qh"])):
-            row = near[i]
-            least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-            at = np.nonzero((row >= least) & (row > -np.inf))[0]
-            order = at[np.lexsort((first[at], -row[at]))]
-            pairs = sorted((-float(row[j]), int(x)) for j in order[: k] for x in ids[j])[:k]  # an entry's ids come before any worse entry's
-            out += [(qid, qh, x, -s) for s, x in pairs]
+        out: list[tuple] = []
+        if len(left) and len(right):
+            e, q = units(list(left["v"])), units(list(right["v"]))
+            lengths, cells = np.array([len(v) for v in e]), left["c2"].to_numpy()
+            asked: dict[int, list[int]] = {}
+            for i, visited in enumerate(right["c2"]):
+                for c in visited:
+                    asked.setdefault(int(c), []).append(i)
+            near = np.full((len(q), len(e)), -np.inf)
+            for n in np.unique(lengths):
+                own, order = fitted(q, int(n)), np.nonzero(lengths == n)[0]
+                order = order[np.argsort(cells[order], kind="stable")]
+                rows, starts = np.stack([e[i] for i in order]), np.unique(cells[order], return_index=True)
+                for c, a, b in zip(starts[0], starts[1], [*starts[1][1:], len(order)]):  # one cell
+                    if who := asked.get(int(c)):
+                        near[np.ix_(who, order[a:b])] = own[who] @ rows[a:b].T
+            ids, first = left["ids"].to_numpy(), np.array([x[0] for x in left["ids"]])
+            for i, (qid, qh) in enumerate(zip(right["qid"], right["qh"])):
+                row = near[i]
+                least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                at = np.nonzero((row >= least) & (row > -np.inf))[0]
+                order = at[np.lexsort((first[at], -row[at]))]
+                pairs = sorted((-float(row[j]), int(x)) for j in order[:k] for x in ids[j])[:k]  # an entry's ids come before any worse entry's
+                out += [(qid, qh, x, -s) for s, x in pairs]
         return pd.DataFrame(out, columns=["qid", "qh", "vec_id", "score"])
 
     return rank
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.6, sample: int = 20_000, centroids: int | None = None, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.5, sample: int = 20_000, most: int = 160, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows (vec_id, embedding) that is_query selects, against all rows."""
     spark = vectors.sparkSession
     rows = staged(sound(vectors).filter(F.exists("v", lambda x: x != 0)), "vectors")
@@ -110,25 +142,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.6
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
-    fit = unit(np.stack([np.asarray(r["v"]) for r in index.orderBy(F.xxhash64("v"), "v").limit(sample).select("v").collect()]))
-    half = (fit.shape[1] + 1) // 2
-    size = centroids or max(2, min(256, math.isqrt(n // 4)))
-    books = [kmeans(fit[:, :half], size), kmeans(fit[:, half:] if half < fit.shape[1] else np.zeros((len(fit), 1)), size)]
-    halves = lambda x: (x[:, :half], x[:, half:] if half < x.shape[1] else np.zeros((len(x), 1)))
+    length = index.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()["n"]
+    taken = index.filter(F.size("v") == length).orderBy(F.xxhash64("v"), "v").limit(sample)
+    fit = unit(np.stack([np.asarray(r["v"]) for r in taken.select("v").collect()]))
+    half = (length + 1) // 2
+    size = max(2, min(most, max(16, math.isqrt(n))))
+    halves = lambda x: (x[:, :half], x[:, half:] if half < length else np.zeros((len(x), 1)))
+    books = [kmeans(x, size) for x in halves(fit)]
+    coarse = lambda vectors: halves(unit(fitted(list(vectors), length)))
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
-                own = [distances(x, c).argmin(1).astype(np.int32) for x, c in zip(halves(unit(np.stack(part["v"].to_numpy()))), books)]
+                own = [distances(x, c).argmin(1).astype(np.int32) for x, c in zip(coarse(part["v"]), books)]
                 yield part.assign(c1=own[0], c2=own[1])
 
     placed = staged(index.mapInPandas(place, "v array<double>, ids array<long>, c1 int, c2 int"), "cells")
     held = np.zeros([len(b) for b in books], np.int64)
-    for r in placed.groupBy("c1", "c2").count().collect():  # at most 256 * 256 rows
+    for r in placed.groupBy("c1", "c2").count().collect():  # at most most * most rows
         held[r["c1"], r["c2"]] = r["count"]
     asked = rows.filter(is_query)
-    queries = asked.groupBy("v").agg(F.min("vec_id").alias("qid")).withColumn("qh", F.xxhash64("v"))
-    groups = max(1, math.ceil(queries.count() / block))
+    queries = staged(asked.groupBy("v").agg(F.min("vec_id").alias("qid")).withColumn("qh", F.xxhash64("v")), "queries")
+    number = queries.count()
+    groups = max(1, math.ceil(number / block))
     blocks = np.maximum(1, -(-held.sum(1) // block))
     need = max(k + 1, math.ceil(visit * n))
 
@@ -136,7 +172,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.6
         for part in parts:
             out = []
             if len(part):
-                first, second = (distances(x, c) for x, c in zip(halves(unit(np.stack(part["v"].to_numpy()))), books))
+                first, second = (distances(x, c) for x, c in zip(coarse(part["v"]), books))
                 for v, qid, qh, a, b in zip(part["v"], part["qid"], part["qh"], first, second):
                     by: dict[int, list[int]] = {}
                     for i, j in traverse(a, b, held, need):
@@ -145,10 +181,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.6
             yield pd.DataFrame(out, columns=["v", "qid", "qh", "c1", "b", "c2"])
 
     per = F.element_at(F.array(*(F.lit(int(x)) for x in blocks)), F.col("c1") + 1)
-    right = queries.mapInPandas(ask, "v array<double>, qid long, qh long, c1 int, b int, c2 array<int>").withColumn("g", F.pmod("qh", F.lit(groups)).cast("int"))
+    # a walk takes milliseconds and a query some hundred bytes: the walks are dealt to all cores whatever the rows' size
+    dealt = queries.repartition(max(2 * spark.sparkContext.defaultParallelism, number // 512), "qh")
+    right = dealt.mapInPandas(ask, "v array<double>, qid long, qh long, c1 int, b int, c2 array<int>").withColumn("g", F.pmod("qh", F.lit(groups)).cast("int"))
     left = placed.withColumn("b", F.pmod(F.xxhash64("v"), per).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     key = ["c1", "b", "g"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_rank(k + 1, held.shape[1]), "qid long, qh long, vec_id long, score double")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_rank(k + 1), "qid long, qh long, vec_id long, score double")
     best = Window.partitionBy("qid", "qh").orderBy(F.desc("score"), "vec_id")
     lists = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).groupBy("qid", "qh").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("top"))
     named = queries.join(lists, ["qid", "qh"]).select("v", "top")

@@ -7,19 +7,22 @@ score that is the true one but for a remainder with known bounds. Going from the
 the k-th best value; all rows that the bounds leave in question are selected by a comparison over the slices and
 resolved with exact whole-number products. No row is lost: the bounds hold for every row.
 
-Rows are dealt in blocks of bounded size by hash, and queries in groups; each block meets each group once, so copies and
-common vectors do not gather.
-
-Defined cases: rows with a null id or vector, null or non-finite components, another length than most vectors, or a
-component of 2 ** 18 or more in size (whose products would leave the whole numbers of 64 bits) take no part; rows equal
-in id and vector count once; ties go to the smaller id; with fewer candidates than k all are returned; an empty table
-gives no rows; other columns are ignored.
+Rows of one length are dealt in blocks of bounded size by hash, and queries in groups; each block meets each group once,
+so copies and common vectors do not gather, and a block's slices serve a whole group. Rows and queries with components
+too large for products of 64 bits are resolved by whole numbers of any size; no vector is left out for its size.
+
+Defined cases: rows with a null id or vector, or with null or non-finite components, take no part; vectors of different
+lengths have products over the shorter's components, as if the longer's others were zero, and an empty vector scores 0;
+a score beyond 64 bits is returned as the nearest long and ranked by its true value (up to 38 digits); rows equal in id
+and vector count once; ties go to the smaller id; with fewer candidates than k all are returned; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import staged, table
 from .vectors import block_of, sound
 
-SCALE, MOST = 1024, float(1 << 18)
+SCALE, NARROW, LONG = 1024, 1 << 24, (1 << 63) - 1
+WIDEST = 10**38 - 1
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
@@ -125,34 +129,74 @@ class Slices:
         return at, scores
 
 
+def scaled(x: float) -> int:
+    """floor(1024 x), whatever its size."""
+    return math.floor(x * SCALE) if abs(x) < 1e300 else int(x) * SCALE
+
+
+def fitted(q: list[int], length: int) -> list[int]:
+    return [*q[:length], *[0] * (length - len(q))]
+
+
+class Block:
+    """Rows of one length: the narrow ones as slices, the others as whole numbers of any size."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bits: int):
+        with np.errstate(over="ignore"):
+            whole = np.floor(vectors * SCALE)
+        narrow = (np.abs(whole) < NARROW).all(axis=1) if vectors.shape[1] else np.zeros(len(ids), bool)
+        self.length, self.narrow_ids = vectors.shape[1], ids[narrow]
+        self.x = whole[narrow].astype(np.int64)
+        self.slices = Slices(self.x, bits) if len(self.x) else None
+        self.largest = int(np.abs(self.x).max(initial=0))
+        self.wide = [(int(i), [scaled(float(c)) for c in v]) for i, v in zip(ids[~narrow], vectors[~narrow])]
+
+    def top(self, q: list[int], k: int, bits: int) -> list[tuple[int, int]]:
+        """(score, id) of rows among which the k best are, ties included: of the wide rows, all."""
+        q = fitted(q, self.length)
+        out = [(sum(a * b for a, b in zip(q, v)), i) for i, v in self.wide]
+        if self.slices is not None:
+            if self.length * self.largest * max(map(abs, q)) < 1 << 62:
+                at, scores = self.slices.top(np.array(q, np.int64), k, bits)
+                out += zip(scores.tolist(), self.narrow_ids[at].tolist())
+            else:
+                scores = self.x.astype(object) @ np.array(q, object)
+                out += zip(scores.tolist(), self.narrow_ids.tolist())
+        return out
+
+
 def _search(k: int, row_bits: int, query_bits: int) -> Callable:
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        left = left.sort_values("vec_id", kind="stable")
-        ids, index, out = left["vec_id"].to_numpy(), Slices(np.stack(left["x"].to_numpy()).astype(np.int64), row_bits), []
-        for q, x in zip(right["vec_id"], right["x"]):
-            at, scores = index.top(np.asarray(x, np.int64), k + 1, query_bits)
-            best = np.lexsort((ids[at], -scores))
-            best = best[ids[at[best]] != q][:k]
-            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at[best]], "score": scores[best]}))
-        return pd.concat(out)
+        out: list[tuple] = []
+        if len(left) and len(right):
+            block = Block(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()), row_bits)
+            for q, v in zip(right["query"], right["q"]):
+                found = block.top([scaled(float(x)) for x in v], k + 1, query_bits)
+                for less, i in sorted((-max(-WIDEST, min(WIDEST, s)), i) for s, i in found if i != q)[:k]:
+                    near = max(-LONG - 1, min(LONG, -less))
+                    out.append((q, i, near, Decimal(-less) if near in (LONG, -LONG - 1) else None))
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "far"])
 
     return search
 
 
-def top_products(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 4096, group: int = 2048, row_bits: int = 7, query_bits: int = 5) -> DataFrame:
+def top_products(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 32768, group: int = 16384, row_bits: int = 7, query_bits: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows (vec_id, embedding) that is_query selects, against all rows."""
-    whole = F.transform("v", lambda x: F.floor(x * SCALE))
-    rows = staged(sound(vectors, MOST).select("vec_id", whole.alias("x")), "whole")
-    asked = rows.filter(is_query)
-    n, m = rows.count(), asked.count()
-    blocks, groups = max(1, math.ceil(n / block)), max(1, math.ceil(m / group))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = rows.withColumn("b", block_of(F.col("vec_id"), blocks)).withColumn("g", every(groups))
-    right = asked.withColumn("g", block_of(F.col("vec_id"), groups)).withColumn("b", every(blocks))
-    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(_search(k, row_bits, query_bits), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = staged(sound(vectors).withColumn("d", F.size("v")), "sound")
+    sizes = {r["d"]: r["count"] for r in rows.groupBy("d").count().collect()}  # a row for each length that vectors have
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asked = rows.filter(is_query).select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
+    groups = max(1, math.ceil(asked.count() / group))
+    # blocks of at most `block` rows, and of fewer where a table is small, for all cores to have some
+    share = max(1, min(block, math.ceil(sum(sizes.values()) / vectors.sparkSession.sparkContext.defaultParallelism)))
+    parts = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(math.ceil(n / share)).alias("blocks")) for d, n in sorted(sizes.items())))
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    own = F.get(F.filter(parts, lambda x: x["d"] == F.col("d")), F.lit(0))["blocks"]
+    left = rows.withColumn("b", block_of(F.col("vec_id"), own)).withColumn("g", every(F.lit(groups)))
+    right = asked.withColumn("g", block_of(F.col("query"), groups)).select("query", "q", "g", F.inline(parts)).withColumn("b", every(F.col("blocks")))
+    found = left.groupBy("d", "b", "g").cogroup(right.groupBy("d", "b", "g")).applyInPandas(_search(k, row_bits, query_bits), "query_id long, vec_id long, score long, far decimal(38,0)")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.when(F.col("score") > 0, F.col("far")).desc_nulls_last(), F.when(F.col("score") < 0, F.col("far")).desc_nulls_first(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -162,13 +206,13 @@ def op5_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT)) AS x FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+  SELECT DISTINCT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS HUGEINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS HUGEINT), 0) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(greatest(-9223372036854775808, least(9223372036854775807, score)) AS BIGINT) AS score FROM r WHERE rank <= 10
 """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,10 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share. Only in local mode, where none need be named, it is one of our own, which
+    goes with the process; a cluster without one is an error."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomtext-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(own := tempfile.mkdtemp(prefix="loomtext-"))
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
         named = spark.sparkContext.getCheckpointDir()
     return named
 
@@ -41,13 +47,23 @@ def doc_fold(c: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
+def most_frequent(rows: DataFrame, count: str, most: int, key: str) -> DataFrame:
     """At most `most` rows with the largest counts: those above a count that a histogram of at most 4096 steps of 2 to
-    the 1/64 shows. A sort with a limit would send as many rows from each task."""
-    step = F.floor(F.log2(F.col(count).cast("double")) * 64)
-    left, least = most, None
-    for r in sorted(rows.groupBy(step.alias("step")).count().collect(), reverse=True):
+    the 1/64 shows, and of the step that does not fit whole as many as fit by 4096 buckets of the key's hash. A sort with
+    a limit would send as many rows from each task."""
+    steps, bucket = F.floor(F.log2(F.col(count).cast("double")) * 64), F.pmod(F.xxhash64(key), F.lit(4096))
+    left, least, edge = most, None, None
+    for r in sorted(rows.groupBy(steps.alias("step")).count().collect(), reverse=True):
         if r["count"] > left:
+            edge = r["step"]
             break
         left, least = left - r["count"], r["step"]
-    return rows.filter(step >= least) if least is not None else rows.limit(0)
+    kept = F.lit(False) if least is None else steps >= least
+    if edge is not None and left:
+        upto = -1
+        for r in sorted(rows.filter(steps == edge).groupBy(bucket.alias("bucket")).count().collect()):
+            if r["count"] > left:
+                break
+            left, upto = left - r["count"], r["bucket"]
+        kept = kept | ((steps == edge) & (bucket <= upto))
+    return rows.filter(kept)

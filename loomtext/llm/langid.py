@@ -1,21 +1,27 @@
 """Language identification by word-first backoff.
 
 Learning counts words and, from the same words, character 1- to 4-grams (with word borders) per language over all
-training documents. The model keeps the max_words most frequent words, the max_grams most frequent grams and at most
-max_langs languages; these bounds are parameters, and the model is broadcast.
+training documents. The words with the largest counts are broadcast, as many as `cells` numbers allow; all other known
+words stay in a table. Grams are chosen by their largest share in any language, so that a language with few documents
+keeps its own, and are broadcast, at most `grams` of each order: only what an unseen word is told by is bounded.
 
 A known word scores by its smoothed log frequency in each language, relative to all languages; an unseen word by the
-mean over its longest known grams: 4-grams, or else 3-, 2- and 1-grams. A document's score is the posterior of the
-best language, words and languages' shares of the training documents taken as independent.
-
-Defined cases: a null text, or one without a letter, is `und` with score 0; so is every text if nothing could be
-learned; rows with a null lang or text teach nothing; ties go to the first language in alphabetical order; repeated
-rows count as often as they stand; other columns are ignored.
+mean over its longest known grams: 4-grams, or else 3-, 2- and 1-grams. A text is first scored with the broadcast words,
+others counting as unseen; those of them that the table has are then joined, each with the difference that knowing it
+makes, so that no learned word is left out. A document's score is the posterior of the best language, words and
+languages' shares of the training documents taken as independent.
+
+Defined cases: a null text, or one without a letter, is `und` with score 0 (letters are those of Unicode: numerals are
+none); so is every text if nothing could be learned; rows with a null lang or text teach nothing; ties go to the first
+language in alphabetical order; repeated rows count as often as they stand; an empty table gives no rows; rows with equal
+or null ids are predicted each on its own; a very long text is read whole; other columns, whatever their names, are
+passed through by `predict` and ignored by the query.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import doc_fold, most_frequent, staged, table
 
-WORDS = re.compile(r"[^\W\d_]+")
+#: Python's \\w has numerals beside letters; those that \\d leaves are taken out by their properties.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORDS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 ORDERS = (4, 3, 2, 1)
 FLUSH, KEPT = 200_000, 200_000
 
@@ -57,7 +65,7 @@ def _counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 size = 0
         if sum(map(len, words.values())) > FLUSH // 2:
             yield flush()
-    if words:
+    if any(words.values()):
         yield flush()
 
 
@@ -76,7 +84,7 @@ class Model:
     """rows: log shares of the known words, and behind them those of unseen words met so far."""
 
     def __init__(self, langs: list[str], prior: np.ndarray, tables: dict[int, tuple[list[str], np.ndarray]]):
-        """tables: by kind (0: words, else the grams' order), the grams and their rows of log shares."""
+        """tables: by kind (0: words, else the grams' order), the grams and their rows of log shares, held in the broadcast."""
         self.langs, self.prior = langs, prior
         self.known = {w: i for i, w in enumerate(tables[0][0])} if tables else {}
         self.words = tables[0][1] if tables else np.zeros((0, 0), np.float32)
@@ -112,55 +120,100 @@ class Model:
             out.append(i)
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def score(self, text: str | None) -> tuple[np.ndarray | None, list[str], list[int]]:
+        """Log posterior up to a constant, and the words with their counts that may be in the table."""
         found = Counter(WORDS.findall(text.lower())) if text and self.langs else None
         if not found:
-            return "und", 0.0
-        at = self.at(list(found))
-        rows = self.prior + np.fromiter(found.values(), np.float64, len(found)) @ self.rows[at]
-        best = int(rows.argmax())
-        return self.langs[best], float(1 / np.exp(np.minimum(rows - rows[best], 0)).sum())
-
-
-def train(docs: DataFrame, max_words: int = 100_000, max_grams: int = 40_000, max_langs: int = 200) -> Model:
-    """Model of rows (text, lang)."""
+            return None, [], []
+        at = np.array(self.at(list(found)))
+        times = np.fromiter(found.values(), np.float64, len(found))
+        rows = self.prior + times @ self.rows[at]
+        words = list(found)
+        rest = [words[i] for i in np.nonzero(at >= len(self.words))[0]]
+        return rows, rest, [found[w] for w in rest]
+
+
+def shares(count: np.ndarray, size: np.ndarray, distinct: int) -> np.ndarray:
+    """Log of each row's smoothed share in each language, relative to all languages."""
+    logs = np.log((count + 0.5) / (size + 0.5 * (distinct + 1)))
+    if len(logs):
+        top = logs.max(1, keepdims=True)
+        logs -= np.log(np.exp(logs - top).sum(1, keepdims=True)) + top
+    return logs.astype(np.float32)
+
+
+def counted(by: pd.Series, column: dict[str, int]) -> np.ndarray:
+    """Rows of counts from lists of (lang, n)."""
+    count = np.zeros((len(by), len(column)))
+    for row, own in zip(count, by):
+        for x in own:
+            row[column[x["lang"]]] = x["n"]
+    return count
+
+
+def train(docs: DataFrame, cells: int = 400_000, max_grams: int = 65_536) -> tuple[Model, DataFrame | None]:
+    """Model of rows (text, lang), and the table (word, more: what knowing it adds) of the words it does not hold.
+    cells: numbers in the words' broadcast part, words times languages; max_grams: grams of each order."""
     known = docs.select("text", "lang").filter("text is not null and lang is not null")
-    shares = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).toPandas()
-    langs = sorted(shares["lang"])
+    languages = known.groupBy("lang").count().toPandas()
+    langs = sorted(languages["lang"])
     if not langs:
-        return Model([], np.zeros(0), {})
-    prior = np.log(shares.set_index("lang").loc[langs, "count"].to_numpy(np.float64) / shares["count"].sum())
+        return Model([], np.zeros(0), {}), None
+    prior = np.log(languages.set_index("lang").loc[langs, "count"].to_numpy(np.float64) / languages["count"].sum())
     total = lambda rows, *keys: rows.groupBy(*keys).agg(F.sum("n").alias("n"))
-    words = staged(total(known.filter(F.col("lang").isin(langs)).mapInPandas(_counts, "gram string, lang string, n long"), "gram", "lang"), "words")
+    by_gram = lambda rows: rows.groupBy("gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    words = staged(total(known.mapInPandas(_counts, "gram string, lang string, n long"), "gram", "lang"), "words")
     parts = staged(total(words.mapInPandas(_grams, "kind int, gram string, lang string, n long"), "kind", "gram", "lang"), "grams")
     column = {x: j for j, x in enumerate(langs)}
-    tables = {}
-    for kind, most in ((0, max_words), *((n, max_grams // len(ORDERS)) for n in ORDERS)):
-        own = words if kind == 0 else parts.filter(F.col("kind") == kind).drop("kind")
-        size = {r["lang"]: r["n"] for r in total(own, "lang").collect()}
-        by = own.groupBy("gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        rows = sorted(most_frequent(by, "all", most).collect(), key=lambda r: r["gram"])
-        count = np.zeros((len(rows), len(langs)))
-        for i, r in enumerate(rows):
-            for x in r["by"]:
-                count[i, column[x["lang"]]] = x["n"]
-        logs = np.log((count + 0.5) / (np.array([size.get(x, 0) for x in langs], np.float64) + 0.5 * (len(rows) + 1)))
-        if len(rows):
-            top = logs.max(1, keepdims=True)
-            logs -= np.log(np.exp(logs - top).sum(1, keepdims=True)) + top
-        tables[kind] = ([r["gram"] for r in rows], logs.astype(np.float32))
-    return Model(langs, prior, tables)
-
-
-def predictor(spark: SparkSession, model: Model):
-    """Column of text -> struct(lang_pred, score)."""
-    held = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(map(held.value.predict, texts), columns=["lang_pred", "score"])
-
-    return predict
+    of = lambda sizes: np.array([sizes.get(x, 0) for x in langs], np.float64)
+    size = of({r["lang"]: r["n"] for r in total(words, "lang").collect()})
+    table_ = staged(by_gram(words), "known")
+    distinct = table_.count()
+    held = staged(most_frequent(table_, "all", max(1, cells // len(langs)), "gram"), "held")
+    top = held.toPandas().sort_values("gram")
+    tables = {0: (list(top["gram"]), shares(counted(top["by"], column), size, distinct))}
+    sizes = {(r["kind"], r["lang"]): r["n"] for r in total(parts, "kind", "lang").collect()}
+    for kind in ORDERS:
+        own, in_order = by_gram(parts.filter(F.col("kind") == kind)), {x: max(sizes.get((kind, x), 0), 1) for x in langs}
+        share = F.array_max(F.transform("by", lambda x: x["n"] / F.element_at(F.create_map(*(F.lit(y) for kv in in_order.items() for y in kv)), x["lang"])))  # noqa: B023
+        picked = most_frequent(own.withColumn("share", share * (1 << 40)), "share", max_grams, "gram").toPandas().sort_values("gram")
+        tables[kind] = (list(picked["gram"]), shares(counted(picked["by"], column), of({x: n for (k, x), n in sizes.items() if k == kind}), len(picked)))
+    model = Model(langs, prior, tables)
+    if len(top) == distinct:
+        return model, None
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def more(some: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in some:
+            rows = shares(counted(part["by"], column), size, distinct)
+            yield pd.DataFrame({"word": part["gram"], "more": [row - shared.value.unseen(w) for w, row in zip(part["gram"], rows)]})
+
+    rest = table_.join(held.select("gram"), "gram", "left_anti").select("gram", "by")
+    return model, staged(rest.mapInPandas(more, "word string, more array<float>"), "rare")
+
+
+def predict(docs: DataFrame, model: Model, rare: DataFrame | None, text: str = "text") -> DataFrame:
+    """docs with lang_pred and score."""
+    held, langs = docs.sparkSession.sparkContext.broadcast(model), model.langs
+
+    @F.pandas_udf("rows array<double>, words array<string>, times array<long>")
+    def start(texts: pd.Series) -> pd.DataFrame:
+        found = list(zip(*map(held.value.score, texts))) or [(), (), ()]
+        return pd.DataFrame({c: pd.Series([None if x is None else list(x) for x in own], dtype=object) for c, own in zip(("rows", "words", "times"), found)})
+
+    docs = docs.drop("lang_pred", "score")
+    scored = docs.withColumn("__p", start(F.col(text)))
+    rows = F.col("__p.rows")
+    if rare is not None:
+        scored = staged(scored.withColumn("__row", F.monotonically_increasing_id()), "started")
+        pairs = scored.select("__row", F.explode(F.arrays_zip("__p.words", "__p.times")).alias("x")).select("__row", F.col("x.words").alias("word"), F.col("x.times").alias("t"))
+        found = pairs.join(rare, "word").groupBy("__row").agg(F.array(*(F.sum(F.col("t") * F.get("more", F.lit(i))) for i in range(len(langs)))).alias("__more"))
+        scored = scored.join(found, "__row", "left")
+        rows = F.when(F.col("__more").isNull(), rows).otherwise(F.zip_with(rows, "__more", lambda a, b: a + b))
+    scored = scored.withColumn("__rows", rows).withColumn("__best", F.array_max("__rows"))
+    best = F.get(F.array(*map(F.lit, langs)), (F.array_position("__rows", F.col("__best")) - 1).cast("int")) if langs else F.lit(None)
+    sure = 1 / F.aggregate("__rows", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__best")))
+    return scored.select(*docs.columns, F.coalesce(best, F.lit("und")).alias("lang_pred"), F.coalesce(sure, F.lit(0.0)).alias("score"))
 
 
 def split_fold(doc_id: Column) -> Column:
@@ -169,6 +222,6 @@ def split_fold(doc_id: Column) -> Column:
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = train(docs.filter(~split_fold(F.col("doc_id"))))
-    found = predictor(spark, model)(F.col("text"))
-    return docs.select("doc_id", split_fold(F.col("doc_id")).alias("held_out"), found.alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+    held_out = split_fold(F.col("doc_id"))
+    model, rare = train(docs.filter(~held_out))
+    return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, rare).drop("text")

@@ -203,7 +203,7 @@ def score_texts(docs: DataFrame, held_out: Column, frequent: int = 1024, groups:
     # the bytes of a word are UTF-8, as its text's were
     counts = staged(training.mapInPandas(_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = sorted(most_frequent(counts, "c", held).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
+    top = sorted(most_frequent(counts, "c", held, "word").collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     v = Vocabulary([bytes(r["word"]) for r in top], [r["c"] for r in top], frequent, groups)
     last = F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)"))
     rest = {r["g"]: (r["c"], r["n"]) for r in counts.groupBy(F.pmod(last, F.lit(groups)).cast("int").alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}

@@ -3,7 +3,7 @@
 Leaves are (domain, lang, source). The token budget goes down the tree: a node's children share its budget by weight,
 none gets more than it can give (its tokens times max_epochs), and what one cannot take goes to its siblings; only what
 all children together cannot take stays with the node's own siblings. With children sorted by capacity / weight the
-exhausted ones are a prefix, so that a running sum settles a level without iteration, in whole numbers.
+exhausted ones are a prefix, so that running sums settle a level without iteration, in whole numbers.
 
 A leaf's budget is a number of whole epochs and a token prefix of one more, whose order is seeded by leaf epoch. The
 prefix ends at a cut-off key, found from sums over 4096 key buckets and then within one bucket, so that no task holds
@@ -11,7 +11,7 @@ a leaf. Documents are chosen by comparing their key to the cut-off.
 
 Defined cases: a null domain, lang or source is the empty name; a null text costs one token; a document costs its words
 plus one; rows that agree in id and text have one key and are taken together; an empty table or a zero budget gives
-no rows; other columns stay unless they have an output's name (domain, tokens, epoch), which then is the output.
+no rows; very long texts are counted whole; other columns stay unless they have an output's name (domain, tokens, epoch), which then is the output.
 Weights are whole numbers up to 10,000; a name without a weight has 1, a weight of 0 or less excludes.
 """
 
@@ -48,17 +48,31 @@ def order_key(seed: int, epoch: Column, doc_id: Column, digest: Column) -> Colum
 
 
 def share(nodes: DataFrame, parents: list[str], budget: str) -> DataFrame:
-    """nodes (parents..., name, w, c, budget) with what each gets, as `got`."""
-    by = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(1))
-    order = by.orderBy((F.col("c") / F.col("w")).asc(), F.col("name"))
-    before = F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    onward = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    full = nodes.withColumns({"_b": before, "_w": onward}).withColumn("_full", F.col("_b") * F.col("w") + F.col("c") * F.col("_w") <= F.col(budget) * F.col("w"))
-    spent = F.coalesce(F.sum(F.when(F.col("_full"), F.col("c"))).over(by), F.lit(0))
-    rest = F.sum(F.when(~F.col("_full"), F.col("w"))).over(by)
-    return full.withColumns({"_s": spent, "_r": rest}).withColumn(
-        "got", F.when(F.col("_full"), F.col("c")).otherwise(F.expr(f"(({budget} - _s) * w) div _r"))
-    ).drop("_b", "_w", "_full", "_s", "_r")
+    """nodes (parents..., w, c, budget) with what each gets, as `got`.
+
+    A node is full if filling all siblings to its level c / w costs no more than the budget, which holds up to some level.
+    Siblings are summed in 4096 steps of 2 to the 1/64 of c / w, and only those of the one step in which the level lies are
+    sorted, so that no task holds all children of a node."""
+    whole = lambda c: (F.col(c) if isinstance(c, str) else c).cast("decimal(19,0)")  # noqa: E731  products have 38 digits
+    cost = lambda below, c, beyond, w: whole(below) * whole(w) + whole(c) * whole(beyond) <= whole(budget_) * whole(w)
+    budget_, ratio = "_budget", F.col("c") / F.col("w")
+    sums = (F.sum("c").alias("_c"), F.sum("w").alias("_w"), F.max(F.struct(ratio.alias("r"), "c", "w")).alias("_m"), F.first(budget).alias("_budget"))
+    rows = nodes.withColumns({"_top": F.lit(0), "_k": F.when(F.col("c") > 0, F.floor(F.log2(ratio) * 64)).otherwise(-(1 << 20))})
+    by = ["_top", *parents]
+    in_order = lambda key: Window.partitionBy(*by).orderBy(key)
+    upto = lambda key: F.sum("_c").over(in_order(key).rowsBetween(Window.unboundedPreceding, 0))
+    beyond = lambda key: F.coalesce(F.sum("_w").over(in_order(key).rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    steps = rows.groupBy(*by, "_k").agg(*sums).withColumns({"_upto": upto("_k"), "_beyond": beyond("_k")})
+    edge = steps.filter(~cost("_upto", "_m.c", "_beyond", "_m.w")).groupBy(*by).agg(F.min_by(F.struct("_k", (F.col("_upto") - F.col("_c")).alias("below"), "_beyond"), "_k").alias("_e"))
+    marked = rows.join(edge, by, "left")
+    within = marked.filter(F.col("_k") == F.col("_e._k")).groupBy(*by, ratio.alias("_r"), "_e").agg(*sums)
+    within = within.withColumns({"_upto": upto("_r") + F.col("_e.below"), "_over": beyond("_r") + F.col("_e._beyond")})
+    level = within.filter(cost("_upto", "_m.c", "_over", "_m.w")).groupBy(*by).agg(F.max("_r").alias("_level"))
+    full = F.col("_e").isNull() | (F.col("_k") < F.col("_e._k")) | F.coalesce((F.col("_k") == F.col("_e._k")) & (ratio <= F.col("_level")), F.lit(False))
+    marked = marked.join(level, by, "left").withColumn("_full", full)
+    spent = marked.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_full"), F.col("c"))), F.lit(0)).alias("_s"), F.sum(F.when(~F.col("_full"), F.col("w"))).alias("_rest"))
+    rest = F.expr(f"(cast({budget} - _s as decimal(19,0)) * cast(w as decimal(19,0))) div _rest")
+    return marked.join(spent, by).withColumn("got", F.when(F.col("_full"), F.col("c")).otherwise(rest)).drop("_top", "_k", "_e", "_level", "_full", "_s", "_rest")
 
 
 def weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
@@ -71,11 +85,12 @@ def leaf_plan(slim: DataFrame, weights: dict, percent: int, max_epochs: int, see
     for level in TREE:
         leaves = leaves.withColumn(f"w_{level}", weight(level, weights)).filter(F.col(f"w_{level}") > 0)
     leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    plan = leaves.withColumn("budget", F.expr("1L")).withColumn("all", total).withColumn("budget", F.expr(f"all * {int(percent)} div 100"))
+    leaves = staged(leaves, "leaves")
+    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    plan = leaves.withColumn("budget", F.lit(total * int(percent) // 100).cast("long"))
     for depth, level in enumerate(TREE):
         path = list(TREE[: depth + 1])
-        nodes = plan.groupBy(*path).agg(F.first("budget").alias("budget"), F.first(f"w_{level}").alias("w"), F.sum("cap").alias("c")).withColumn("name", F.col(level))
+        nodes = plan.groupBy(*path).agg(F.first("budget").alias("budget"), F.first(f"w_{level}").alias("w"), F.sum("cap").alias("c"))
         plan = plan.drop("budget").join(share(nodes, path[:-1], "budget").select(*path, F.col("got").alias("budget")), path)
     plan = staged(plan.select(*TREE, F.expr("int(budget div tokens)").alias("whole"), F.expr("budget % tokens").alias("rest")), "mixleaves")
     keyed = slim.join(plan, list(TREE)).withColumn("key", order_key(seed, F.col("whole"), F.col("doc_id"), F.col("digest"))).withColumn("bucket", F.substring("key", 1, 3))

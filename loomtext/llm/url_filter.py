@@ -7,12 +7,14 @@ listed keys; the second holds the other keys of the universe that pass the first
 the second, and so on until none passes. The first level that a key fails says whether it is listed, exactly for each
 key of the universe, with no join.
 
-The filters go into the plan as literals: they grow with the listed keys, not with the pages, and only up to max_bits.
-Beyond that the listed keys are joined by key instead.
+The filters go into the plan as literals of at most `max_bits` each. A level that needs more is dealt to several literals
+by the key's hash, so that the method is one at any size: what grows is the listed keys, not the pages. The cascades of
+all lists are built together, a level at a time.
 
 Defined cases: a null url, or one without "://", has an empty host and path and fits nothing; of two rules of equal
 length the one with the longer host wins; a rule that is both allowed and blocked allows; repeated rows are all kept;
-other columns of the input stay as they are unless they have an output's name, which then is the output.
+a very long url is read whole; an empty table gives no rows; other columns of the input stay as they are unless they have
+an output's name, which then is the output.
 """
 
 from __future__ import annotations
@@ -49,41 +51,57 @@ def places(key: Column, seed: int, bits: int, hashes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(a + i * b, F.lit(bits)))
 
 
+def part_of(key: Column, seed: int, parts: int) -> Column:
+    """Which of a level's filters the key belongs to."""
+    return F.pmod(F.xxhash64(F.lit(-seed - 1), key), F.lit(parts)).cast("int") if parts > 1 else F.lit(0)
+
+
 class Cascade:
     """Exact membership of the keys of a universe in its listed part."""
 
-    def __init__(self, levels: list[tuple[int, int, list[int]]]):
-        self.levels = levels
+    def __init__(self, levels: list[tuple[int, int, list[list[int]]]], max_bits: int = 1 << 24):
+        """levels: bits of a part, hashes, and the parts' words."""
+        self.levels, self.max_bits = levels, max_bits
 
     @classmethod
-    def build(cls, universe: DataFrame, max_bits: int = 1 << 24, max_levels: int = 60) -> Cascade | None:
-        """universe: distinct (key, listed). None if a level would have more than max_bits."""
-        levels: list[tuple[int, int, list[int]]] = []
-        count = universe.agg(F.count_if("listed").alias("yes"), F.count_if(~F.col("listed")).alias("no")).first()
-        inside, outside = count["yes"], count["no"]
-        while inside:
-            if len(levels) == max_levels:
+    def build(cls, universe: DataFrame, lists: list[str], max_bits: int = 1 << 24, max_levels: int = 60) -> dict[str, Cascade]:
+        """A cascade for each list; universe: distinct keys with a flag for each list. Two jobs a level for all lists."""
+        out = {name: cls([], max_bits) for name in lists}
+        counts = universe.agg(*(F.count_if(name).alias(name) for name in lists), F.count("*").alias("__all")).first() if lists else {}
+        left = {name: (counts[name], counts["__all"] - counts[name]) for name in lists if counts[name]}
+        level = 0
+        while left:
+            if level == max_levels:
                 raise RuntimeError("the cascade did not end: keys whose hashes agree under every seed")
-            rate = min(0.5, max(1e-9, math.sqrt(0.5) * inside / max(outside, 1))) if not levels else 0.5
-            hashes = max(1, round(-math.log2(rate)))
-            bits = max(64, math.ceil(inside * hashes / math.log(2)))
-            if bits > max_bits:
-                return None
-            side = len(levels) % 2 == 0  # whether this level holds listed keys
-            passed = universe.filter(cls(levels).passes(F.col("key"))) if levels else universe
-            at = F.explode(places(F.col("key"), len(levels), bits, hashes)).alias("at")
-            words = [0] * (bits // WORD + 1)
-            for row in passed.filter(F.col("listed") == side).select(at).groupBy(F.floor(F.col("at") / WORD).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % WORD).cast("int"))).alias("bits")).collect():
-                words[row["word"]] = row["bits"]  # at most max_bits / WORD rows
-            levels.append((bits, hashes, words))
-            outside, inside = inside, universe.filter((F.col("listed") != side) & cls(levels).passes(F.col("key"))).count()
-        return cls(levels)
+            shapes_, inside = {}, {}
+            for name, (yes, no) in left.items():
+                rate = min(0.5, max(1e-9, math.sqrt(0.5) * yes / max(no, 1))) if not level else 0.5
+                hashes = max(1, round(-math.log2(rate)))
+                needed = max(64, math.ceil(yes * hashes / math.log(2)))
+                parts = math.ceil(needed / max_bits)
+                shapes_[name] = (math.ceil(needed / parts), hashes, parts)
+                inside[name] = (F.col(name) == (level % 2 == 0)) & out[name].passes(F.col("key"))
+            at = lambda name: F.transform(places(F.col("key"), level, *shapes_[name][:2]), lambda i: F.struct(F.lit(name).alias("list"), part_of(F.col("key"), level, shapes_[name][2]).alias("part"), i.alias("at")))  # noqa: B023, E731
+            marks = universe.select(F.explode(F.flatten(F.array(*(F.when(inside[name], at(name)).otherwise(F.array()) for name in left)))).alias("m")).select("m.*")
+            filters = {name: [[0] * (bits // WORD + 1) for _ in range(parts)] for name, (bits, _, parts) in shapes_.items()}
+            held = marks.groupBy("list", "part", F.floor(F.col("at") / WORD).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % WORD).cast("int"))).alias("bits"))
+            for row in held.toLocalIterator():  # as many rows as the filters have words, a partition at a time
+                filters[row["list"]][row["part"]][row["word"]] = row["bits"]
+            for name, (bits, hashes, _) in shapes_.items():
+                out[name].levels.append((bits, hashes, filters[name]))
+            false = universe.agg(*(F.count_if((F.col(name) == (level % 2 == 1)) & out[name].passes(F.col("key"))).alias(name) for name in left)).first()
+            left = {name: (false[name], yes) for name, (yes, _) in left.items() if false[name]}
+            level += 1
+        return out
 
     def level(self, key: Column, k: int) -> Column:
-        bits, hashes, words = self.levels[k]
-        held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-        bit = lambda at: F.getbit(F.get(held, F.floor(at / WORD).cast("int")), (at % WORD).cast("int")) == 1
-        return F.forall(places(key, k, bits, hashes), bit)
+        bits, hashes, parts = self.levels[k]
+        literal = lambda words: F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+        held = lambda words: F.forall(places(key, k, bits, hashes), lambda at: F.getbit(F.get(literal(words), F.floor(at / WORD).cast("int")), (at % WORD).cast("int")) == 1)
+        found = held(parts[-1])
+        for i, words in enumerate(parts[:-1]):
+            found = F.when(part_of(key, k, len(parts)) == i, held(words)).otherwise(found)
+        return found
 
     def passes(self, key: Column) -> Column:
         """Whether the key passes every level."""
@@ -121,14 +139,11 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, list
         own = json.dumps([{"key": k} | {g: k in of for g, of in groups.items()} for k in dict.fromkeys(k for of in groups.values() for k in of)])
         given = pages.sparkSession.range(1).select(F.inline(F.from_json(F.lit(own), "array<struct<key:string," + ",".join(f"{g}:boolean" for g in groups) + ">>")))
         universe = staged(seen.unionByName(given).groupBy("key").agg(*(F.max(g).alias(g) for g in groups)), "urlkeys")
-        for g, of in groups.items():
-            cascade = Cascade.build(universe.select("key", F.col(g).alias("listed")), max_bits) if of else Cascade([])
-            for s in sorted({shape(k) for k in of}):
+        cascades = Cascade.build(universe, [g for g, of in groups.items() if of], max_bits)
+        for g, cascade in cascades.items():
+            for s in sorted({shape(k) for k in groups[g]}):
                 flag = f"__{g}_{s[0]}_{s[1]}"
-                if cascade is not None:
-                    judged = judged.withColumn(flag, cascade.contains(keys[s]))
-                else:
-                    judged = judged.join(universe.filter(g).select(F.col("key").alias("__by"), F.lit(True).alias(flag)), keys[s] == F.col("__by"), "left").drop("__by")
+                judged = judged.withColumn(flag, cascade.contains(keys[s]))
                 fits[g][s] = F.coalesce(F.col(flag), F.lit(False))
     false, null = F.lit(False), F.lit(None).cast("string")
     best = F.array(*(F.when(fits["allow"].get(s, false) | fits["block"].get(s, false), F.struct((F.length(keys[s])).alias("n"), F.lit(-s[1]).alias("m"), fits["allow"].get(s, false).alias("allow"), keys[s].alias("rule"))) for s in sorted({*fits["allow"], *fits["block"]})))

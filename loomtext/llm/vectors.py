@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sound(rows: DataFrame, most: float | None = None) -> DataFrame:
-    """Distinct (vec_id, v: array<double>) of the rows (vec_id, embedding) whose embedding has the table's most frequent
-    length (of equals the longest) and only finite components, below most in size."""
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < (float("inf") if most is None else most))
+def sound(rows: DataFrame) -> DataFrame:
+    """Distinct (vec_id, v: array<double>) of the rows (vec_id, embedding) whose embedding has only finite components."""
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     v = F.col("embedding").cast("array<double>")
-    kept = rows.select("vec_id", v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0").filter(F.forall("v", fine)).distinct()
-    length = kept.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return kept.filter(F.size("v") == (length["n"] if length else 0))
+    return rows.select("vec_id", v.alias("v")).filter("vec_id is not null and v is not null").filter(F.forall("v", fine)).distinct()
 
 
-def block_of(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+def block_of(key: Column, blocks: int | Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks) if isinstance(blocks, int) else blocks).cast("int")

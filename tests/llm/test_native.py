@@ -20,17 +20,19 @@ def test_url_parts_and_rules(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(i, *w) for i, w in enumerate(want)] * 2, key=str)
 
 
-def test_cascade_is_exact_and_falls_back_to_a_join(spark):
+def test_cascade_is_exact_at_any_size_of_its_literals(spark):
     rng = random.Random(5)
     keys = [f"h{i}.example.com" for i in range(3000)]
-    listed = set(rng.sample(keys, 400))
-    universe = spark.createDataFrame([(k, k in listed) for k in keys], "key string, listed boolean")
-    cascade = url_filter.Cascade.build(universe)
-    assert len(cascade.levels) > 1
-    assert universe.filter(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
-    assert url_filter.Cascade.build(universe, max_bits=100) is None
+    listed, other = set(rng.sample(keys, 400)), set(rng.sample(keys, 90))
+    universe = spark.createDataFrame([(k, k in listed, k in other) for k in keys], "key string, listed boolean, other boolean")
+    for most in (1 << 24, 200):
+        cascades = url_filter.Cascade.build(universe, ["listed", "other"], most)
+        for name, cascade in cascades.items():
+            assert len(cascade.levels) > 1 and all(bits <= max(most, 64) for bits, _, _ in cascade.levels)
+            assert (len(cascade.levels[0][2]) > 1) == (most == 200)
+            assert universe.filter(cascade.contains(F.col("key")) != F.col(name)).count() == 0
     pages = spark.createDataFrame([(i, f"http://{k}/x") for i, k in enumerate(keys[:200])], "page_id long, url string")
-    a, b = (url_filter.filter_urls(pages, [], listed, m).select("page_id", "verdict").collect() for m in (1 << 24, 10))
+    a, b = (url_filter.filter_urls(pages, [], listed, m).select("page_id", "verdict").collect() for m in (1 << 24, 300))
     assert sorted(a) == sorted(b) and {r["page_id"] for r in a if r["verdict"] == "block"} == {i for i, k in enumerate(keys[:200]) if k in listed}
 
 
@@ -114,6 +116,17 @@ def test_mixing_against_brute_force(spark):
         assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_water_level_against_filling_by_hand(spark):
+    rng = random.Random(9)
+    for case in range(6):
+        nodes = {f"n{i}": (rng.choice([1, 2, 5, 10_000]), rng.choice([3, 6, 6, 7, 40, 41, rng.randrange(1, 10**6), 10**15])) for i in range(40)}
+        budget = rng.choice([0, 1, 100, 5 * 10**6, 10**15, 10**17])
+        df = spark.createDataFrame([("p", k, w, c, budget) for k, (w, c) in nodes.items()], "up string, name string, w long, c long, budget long")
+        for parents in ([], ["up"]):
+            got = {r["name"]: r["got"] for r in mixing.share(df, parents, "budget").collect()}
+            assert got == water(nodes, budget), (case, parents)
+
+
 def test_mixing_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert mixing.mix(df).count() == 0

@@ -66,7 +66,7 @@ def test_fingerprints_and_components(spark):
     rows = corpus()
     got = simhash.near_duplicates(frame(spark, rows)).collect()
     prints = [brute_fingerprint(t, 3) for _, t, _, _ in rows]
-    assert Counter((r["doc_id"], r["fp"][0] % (1 << 64)) for r in got) == Counter((x[0], p) for x, p in zip(rows, prints))
+    assert Counter((r["doc_id"], r["fp"] % (1 << 64)) for r in got) == Counter((x[0], p) for x, p in zip(rows, prints))
     roots = reach(prints, lambda a, b: (a ^ b).bit_count() <= 2)
     least = {}
     for x, r in zip(rows, roots):
@@ -76,13 +76,14 @@ def test_fingerprints_and_components(spark):
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("tables, walked, budget", [(1, None, 3), (4, 3, 12)])
-def test_trie_join_finds_every_link(spark, tables, walked, budget):
+@pytest.mark.parametrize("budget, most", [(2, 20), (2, 1000), (3, 9)])
+def test_trie_join_finds_every_link(spark, budget, most):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]
     values = list({b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(5))) for b in base for _ in range(12)})
-    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "id long").withColumn("fp", F.array("id"))
-    edges = [(r["u"] % (1 << 64), r["v"] % (1 << 64)) for r in simhash.links(df, budget, tables, walked, most=20, depth=9).collect()]
+    rows = [(v - (1 << 64) if v >> 63 else v, v.to_bytes(8, "little"), 0) for v in values]
+    df = spark.createDataFrame(rows, "id long, fp binary, class int")
+    edges = [(r["u"] % (1 << 64), r["v"] % (1 << 64)) for r in simhash.links(df, budget, budget + 1, most=most).collect()]
     near = lambda a, b: (a ^ b).bit_count() <= budget
     want = reach(values, near)
     at = {v: i for i, v in enumerate(values)}
@@ -91,6 +92,24 @@ def test_trie_join_finds_every_link(spark, tables, walked, budget):
     assert len(at) == len(values) and group(got) == group(want)
 
 
+def test_wide_tries_meet_by_class_and_budget(spark):
+    """Two words, two tries of 24 bits in which one may differ; classes one apart meet, others do not."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(128) for _ in range(30)]
+    values = [(b ^ sum(1 << i for i in rng.sample(range(128), rng.randrange(7))), rng.randrange(4)) for b in base for _ in range(8)]
+    rows = [(i, v.to_bytes(16, "little"), c) for i, (v, c) in enumerate(values)]
+    df = spark.createDataFrame(rows, "id long, fp binary, class int")
+
+    def near(x, y):
+        blocks = [((x[0] ^ y[0]) >> a & 0xFFFFFF).bit_count() <= 1 for a in (0, 24)]
+        return abs(x[1] - y[1]) <= 1 and any(blocks) and (x[0] ^ y[0]).bit_count() <= 8
+
+    want = reach(values, near)
+    for most in (10, 10**6):
+        edges = {(r["u"], r["v"]) for r in simhash.links(df, 8, 2, 24, 1, most=most).collect()}
+        assert reach(list(range(len(values))), lambda a, b, own=edges: (a, b) in own or (b, a) in own) == want
+
+
 def test_walk_against_all_pairs():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 1 << 12, 500).astype(np.uint64) << np.uint64(52))
@@ -213,18 +232,54 @@ def test_language_identification(spark, tmp_path):
 
 def test_backoff_goes_from_words_to_shorter_grams():
     rows = lambda *x: np.log(np.array(x, np.float32))
+    tell = lambda m, text: [m.langs[int(r.argmax())] for r, _, _ in [m.score(text)]][0]
     tables = {0: (["ab"], rows([0.9, 0.1])), 4: (["<xyz"], rows([0.2, 0.8])), 3: ([], np.zeros((0, 2), np.float32)), 2: (["<x"], rows([0.7, 0.3])), 1: (["q"], rows([0.4, 0.6]))}
     m = langid.Model(["a", "b"], np.log([0.5, 0.5]), tables)
-    assert m.predict("ab")[0] == "a" and m.predict("xyzz")[0] == "b" and m.predict("xa")[0] == "a" and m.predict("q")[0] == "b"
-    assert m.predict("ab")[1] == pytest.approx(0.9, abs=1e-6)
-    assert langid.Model([], np.zeros(0), {}).predict("word") == ("und", 0.0)
+    assert tell(m, "ab") == "a" and tell(m, "xyzz") == "b" and tell(m, "xa") == "a" and tell(m, "q") == "b"
+    assert m.score("ab xyzz xyzz")[1:] == (["xyzz"], [2]) and langid.Model([], np.zeros(0), {}).score("word") == (None, [], [])
+
+
+def test_language_scores_by_a_recount(spark):
+    """Few broadcast words: the others come from the table; grams of all words."""
+    rows = [(i, t, lang, s) for i, (_, t, lang, s) in enumerate(corpus(60, 2))]
+    df = frame(spark, rows)
+    model, rare = langid.train(df, cells=9, max_grams=1 << 20)
+    assert rare.count() > 0 and len(model.known) <= 3
+    got = {r["doc_id"]: r for r in langid.predict(df, model, rare).collect()}
+    words = lambda t: [w for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()]
+    langs = sorted({lang for _, t, lang, _ in rows if t is not None and lang is not None})
+    per = {x: Counter(w for _, t, lang, _ in rows if lang == x for w in words(t)) for x in langs}
+    docs = Counter(lang for _, t, lang, _ in rows if t is not None and lang is not None)
+    distinct = len(set().union(*per.values()))
+    share = lambda w, x: math.log((per[x][w] + 0.5) / (sum(per[x].values()) + 0.5 * (distinct + 1)))
+    for i, t, _, _ in rows:
+        found = [w for w in words(t) if any(w in own for own in per.values())]
+        if len(found) != len(words(t)) or not found:
+            continue
+        logs = {}
+        for x in langs:
+            logs[x] = math.log(docs[x] / sum(docs.values())) + sum(share(w, x) - math.log(sum(math.exp(share(w, y)) for y in langs)) for w in found)
+        best = max(logs, key=logs.get)
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), rel=1e-4)
+
+
+def test_language_needs_letters(spark):
+    rows = [(i, t, "en", None) for i, t in enumerate(["²", "Ⅷ ½ ①", "٣٤", "_", "é", "字", "a²"])] + [(9, "some words", "en", None), (9, "some words", "en", None)]
+    df = frame(spark, rows)
+    got = [(r["doc_id"], r["lang_pred"]) for r in langid.predict(df, *langid.train(df)).collect()]
+    assert sorted(got) == [(0, "und"), (1, "und"), (2, "und"), (3, "und"), (4, "en"), (5, "en"), (6, "en"), (9, "en"), (9, "en")]
+    assert langid.predict(df, *langid.train(df)).columns == [*df.columns, "lang_pred", "score"]
+    none = df.limit(0)
+    assert langid.predict(none, *langid.train(none)).count() == 0 and {r["lang_pred"] for r in langid.predict(df, *langid.train(none)).collect()} == {"und"}
 
 
 def test_most_frequent_is_bounded(spark):
-    df = spark.range(1, 500).select((F.col("id") % 50 + 1).alias("n"))
-    kept = [r["n"] for r in most_frequent(df, "n", 100).collect()]
+    df = spark.range(1, 500).select("id", (F.col("id") % 50 + 1).alias("n"))
+    kept = [r["n"] for r in most_frequent(df, "n", 100, "id").collect()]
     assert 80 <= len(kept) <= 100 and min(kept) > 35
-    assert most_frequent(df, "n", 3).count() == 0
+    assert most_frequent(df, "n", 0, "id").count() == 0
+    tied = spark.range(300).withColumn("n", F.lit(1))
+    assert 190 <= most_frequent(tied, "n", 200, "id").count() <= 200 and most_frequent(tied, "n", 300, "id").count() == 300
 
 
 def jaccard(a, b, k=5):
@@ -259,6 +314,42 @@ def test_near_duplicates_are_all_found(spark):
     assert [got[i] for i in range(len(texts))] == roots
 
 
+def test_near_duplicate_recall_just_above_the_threshold(spark):
+    """Pairs between 0.8 and 0.85 of 20 to 3000 words, and pairs just below 0.8 that must stay."""
+    rng, texts, pairs = random.Random(11), [], []
+    for k in range(400):
+        n = rng.choice([20, 40, 100, 300, 1000, 3000]) if k % 40 == 0 else rng.choice([20, 40, 80, 150, 300])
+        words = [f"w{k}x{i}" for i in range(n)]
+        cut, below = rng.randrange(int(0.15 * n), int(0.21 * n) + 2), k % 4 == 3
+        other = words[: n - cut] if not below else words[: n - int(0.24 * n)]
+        j = jaccard(" ".join(words), " ".join(other))
+        if 0.8 <= j < 0.87 or below and j < 0.8:
+            pairs.append((len(texts), len(texts) + 1, j))
+            texts += [" ".join(words), " ".join(other)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    above, under = [got[a] == got[b] for a, b, j in pairs if j >= 0.8], [got[a] == got[b] for a, b, j in pairs if j < 0.8]
+    assert len(above) >= 150 and len(under) >= 80 and not any(under) and sum(above) >= 0.99 * len(above)
+
+
+def test_clusters_beyond_a_task_are_settled_whole(spark):
+    rng, texts = random.Random(12), []
+    for k in range(3):
+        base = [f"b{k}x{i}" for i in range(60)]
+        texts += [" ".join(base[:i] + [f"e{i}"] + base[i + 1 :]) for i in range(0, 60, 2)] + [" ".join(base), " ".join(base[:52])]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), most=500).collect()}
+    assert [got[i] for i in range(len(texts))] == reach(texts, lambda a, b: jaccard(a, b) >= 0.8)
+
+
+def test_one_document_of_each_group_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(5, a, "en", "s"), (3, a + " x", "en", "s"), (None, a, "en", "s"), (7, b, "en", "s"), (7, b, "en", "s"), (7, a + " y z", "en", "s"), (8, "other words", "en", "s"), (8, "not these", "en", "s"), (9, None, "en", "s"), (None, " ", None, None), (None, "lone", None, None), (None, "lone", None, None)]
+    df = frame(spark, rows)
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, a + " x"), (7, b), (8, "other words"), (8, "not these"), (9, None), (None, "lone")], key=str)
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
 def page(i, body, host="a.example.com", extra=""):
     return (i, f"https://{host}/en/{i}", f"<html><head><title>t{i}</title><script>var a='</p>';</script></head><body><nav><ul><li><a href='/x'>menu {i}</a></li></ul></nav><div class='ad'>buy {i}</div>{extra}<article><h1>Title {i}</h1>{body}</article><div id='comments'><p>reader {i} says</p></div><footer>&copy; {i}</footer></body></html>")
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ def data(n=400, d=12, seed=1):
     x = rng.normal(0, 0.2, (n, d)).astype(np.float32)
     x[50:120] = x[50]  # copies
     rows = [(i, [float(v) for v in x[i]]) for i in range(n)]
-    return rows + [(n, None), (n + 1, [0.0] * d), (n + 2, [float("nan")] * d), (n + 3, [None] * d), (n + 4, [1.0]), (n + 5, [float("inf")] * d), (None, rows[0][1]), rows[3]]
+    return rows + [(n, None), (n + 1, [0.0] * d), (n + 2, [float("nan")] * d), (n + 3, [None] * d), (n + 5, [float("inf")] * d), (None, rows[0][1]), rows[3]]
 
 
 def cosines(rows, step, k, d=12):
@@ -96,7 +97,7 @@ def test_slices_add_and_select_exactly():
 
 def test_top_products_against_brute_force(spark):
     rows = data()
-    df = spark.createDataFrame(rows, SCHEMA)
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"rank": F.lit("clash"), "b": F.lit(1), "v": F.lit(2), "d": F.lit(3)})
     own = {i: np.floor(1024 * np.array(v, np.float64)).astype(np.int64) for i, v in rows if i is not None and v is not None and len(v) == 12 and all(x is not None and math.isfinite(x) for x in v)}
     got = {}
     for r in bitsliced.top_products(df, F.col("vec_id") % 50 == 0, 10, block=128, group=3).orderBy("query_id", "rank").collect():
@@ -111,3 +112,33 @@ def test_bitsliced_edges(spark):
     few = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, -1.0]), (2, [0.0, 0.0])], SCHEMA)
     got = bitsliced.top_products(few, F.col("vec_id") == 1).orderBy("rank").collect()
     assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 0, 0), (2, 2, 0)]
+
+
+def test_products_of_any_size_and_length(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.choice([0.5, -3.25, 3e5, -1e17, 1e-9, 1e200]) for _ in range(rng.choice([0, 1, 3, 3, 4]))]) for i in range(60)] + [(100, [3e5, 1.0]), (200, []), (300, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(Fraction(x) * 1024) for x in v] for i, v in rows if v is not None}
+    product = lambda a, b: sum(x * y for x, y in zip(a, b))
+    got = {}
+    for r in bitsliced.top_products(df, F.col("vec_id") % 20 == 0, 5, block=16, group=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == {0, 20, 40, 100, 200}
+    for q, found in got.items():
+        capped = lambda s: max(-(10**38) + 1, min(10**38 - 1, s))
+        want = sorted((-capped(product(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        assert found == [(i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in want]
+
+
+def test_neighbours_of_other_lengths(spark):
+    rows = [(i, v) for i, v in data(60, 6, 2) if i is not None and i < 60] + [(100, [1.0]), (150, [0.5, -0.25]), (151, [0.1] * 9), (152, [])]
+    want = {}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    own = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if any(v)]
+    for q, v in own:
+        if q % 50 == 0:
+            want[q] = sorted((-round(cosine(v, w), 9), i) for i, w in own if i != q)[:5]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, visit=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(-round(r["score"], 9))
+    assert got == {q: [s for s, _ in x] for q, x in want.items()}
