@@ -1,12 +1,13 @@
 """The corpus pipeline: language identification, near-duplicate removal, mixing and packing of `documents`.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's
-docs. All but the last return the columns of docs, whatever they are. Empty tables pass through every stage.
+docs. All but the last return the columns of docs, whatever they are. Very long texts are read whole, and empty tables
+pass through every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext import reachable
@@ -21,35 +22,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language is known. Those go whose text is null or has no letter, or whose best language has a
     posterior under a half."""
     reachable(spark)
-    model = langid.train(docs.filter(~langid.split_fold(F.col("doc_id"))))
-    found = langid.predictor(spark, model)(F.col("text"))
+    model, rare = langid.train(docs.filter(~langid.split_fold(F.col("doc_id"))))
     if not model.langs:  # nothing to learn from: only texts without a letter can be told apart
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return docs.filter((found["lang_pred"] != "und") & (found["score"] >= 0.5))
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    found = langid.predict(whole, model, rare).filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5))
+    return found.select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8. The smallest id stays. Of rows
-    with one id, one stays, the first by text; rows without an id stay."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8. The smallest id stays, a null id
+    only if there is no other, and one of equal rows; texts that are not alike all stay, whatever their ids."""
     reachable(spark)
-    found = staged(simhash.similar(docs).select("doc_id", "component_id").filter("doc_id is not null"), "groups")
-    kept = docs.join(found.filter("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    twice = staged(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy("text")
-    one = kept.join(twice, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+    return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents for 90 % of the tokens by the target weights, each at most once."""
+    """Documents for 90 % of the tokens by the target weights, each at most once. A null language or source is the empty
+    name, a null text costs one token, and rows that tie in id and text are taken together."""
     domain = mixing.domain_of(F.col("source"))
     return mixing.mix(docs, domain, percent=90, max_epochs=1).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens. A null text is empty and has the end token alone; rows with
+    equal or null ids are packed each on its own."""
     reachable(spark)
     return packing.pack(docs)
 
