@@ -369,10 +369,61 @@ def test_main_text(spark):
     assert html_template.extract_text(df.limit(0)).count() == 0
 
 
-def test_template_drops_text_of_every_page(spark):
-    rows = [(i, "http://h.example/x", f"<html><body><div class='box'><p>Read more on our site</p><p>own text number {i} of this page</p></div></body></html>") for i in range(10)]
-    got = html_template.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r["text"] for r in got} == {f"own text number {i} of this page" for i in range(10)}
+PAGES = "page_id long, url string, html string"
+
+
+def neutral(i, n=40):
+    """No element or class says what it is: a menu, an advert, a page's own text, readers' words, an imprint of two kinds."""
+    own = "".join(f"<p>own words {i} {j} of this page and no other one</p>" for j in range(3 + i % 4))
+    return (i, "http://h.example/x", f"<html><body><div class='x1'><ul><li>Home<li>Shop<li>Help</ul></div><div class='x2'>offer {i} today</div><div class='x5'><h2>Name {i}</h2>{own}<p>Read more on our site</p></div><div class='x3'>Imprint {i % 2}</div></body></html>")
+
+
+def test_template_alone_tells_main_text(spark):
+    rows = [neutral(i) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(20):
+        assert got[i] == "\n\n".join([f"Name {i}", *(f"own words {i} {j} of this page and no other one" for j in range(3 + i % 4))])
+        bare = html_template.main_text(rows[i][2], None, set(), set())
+        assert "Home" in bare and "Imprint" in bare and "offer" in bare and "Read more" in bare  # what the template takes away
+    alone = html_template.extract_text(spark.createDataFrame(rows[:1], PAGES)).first()
+    assert alone["text"] == html_template.main_text(rows[0][2], None, set(), set())
+
+
+def test_copies_on_one_host_stay_text(spark):
+    body = "<div class='a'><p>The same article again and again</p><p>and its second part</p></div>"
+    rows = [(i, "http://h.example/x", f"<html><body>{body}</body></html>") for i in range(9)]
+    rows += [(20 + i, "http://g.example/x", f"<html><body><div class='a'><p>{'one article copied over' if i < 5 else f'own article {i} of some length'}</p></div></body></html>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {got[i] for i in range(9)} == {"The same article again and again\n\nand its second part"}
+    assert [got[20 + i] for i in range(12)] == ["one article copied over"] * 5 + [f"own article {i} of some length" for i in range(5, 12)]
+
+
+def test_slots_against_a_plain_deduction(spark):
+    """The same template from vectors that are written out, for hosts of random layouts."""
+    rng = random.Random(3)
+    rows = []
+    for h in range(6):
+        parts = rng.sample(["<div class='m'><b>menu</b></div>", "<div class='t'><p>{own}</p><p>{more}</p></div>", "<section><p>{own} x</p></section>", "<footer>foot</footer>", "<div class='k'>{two}</div>"], rng.randrange(2, 6))
+        for i in range(rng.choice([2, 7, 30])):
+            own = {"own": f"text {h} {i} " + "w " * rng.randrange(30), "more": f"more {h} {i}", "two": f"kind {i % 2}"}
+            rows.append((len(rows), f"http://h{h}.example/", "<html><body>" + "".join(p.format(**own) for p in parts if rng.random() > 0.05) + "</body></html>"))
+    got = {r["page_id"]: r["text"] for r in html_template.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for h in range(6):
+        pages = [(i, html_template.page_tokens(x)) for i, u, x in rows if u == f"http://h{h}.example/"]
+        n, vectors = len(pages), {}
+        for i, tokens in pages:
+            for k, (c, chars, listed) in tokens.items():
+                vectors.setdefault(k, []).append((i, c, chars, listed))
+        total = lambda k, at, v=vectors: sum(x[at] for x in v[k])
+        repeated = Counter()
+        for (p, t), v in vectors.items():
+            if t is not None and len(v) >= max(3, 0.05 * n):
+                repeated[p] += sum(x[2] for x in v)
+        tokens = [(p, t, tuple(x[:2] for x in v), len(v), total((p, t), 1), total((p, t), 2), total((p, t), 3), 0 if t is not None else repeated[p]) for (p, t), v in vectors.items() if len(v) >= (0.5 if t is None else 0.9) * n and (len(v) > 1 or p == "")]
+        main, still, texts = html_template.deduce(tokens, n)
+        for i, u, x in rows:
+            if u == f"http://h{h}.example/":
+                assert got[i] == html_template.main_text(x, main, set(still), set(texts))
 
 
 def test_pipeline(spark, tmp_path):
