@@ -69,7 +69,7 @@ def share(nodes: DataFrame, parents: list[str], budget: str) -> DataFrame:
     within = within.withColumns({"_upto": upto("_r") + F.col("_e.below"), "_over": beyond("_r") + F.col("_e._beyond")})
     level = within.filter(cost("_upto", "_m.c", "_over", "_m.w")).groupBy(*by).agg(F.max("_r").alias("_level"))
     full = F.col("_e").isNull() | (F.col("_k") < F.col("_e._k")) | F.coalesce((F.col("_k") == F.col("_e._k")) & (ratio <= F.col("_level")), F.lit(False))
-    marked = marked.join(level, by, "left").withColumn("_full", full)
+    marked = staged(marked.join(level, by, "left").withColumn("_full", full), "levels")  # a row a node; its plan would grow from level to level
     spent = marked.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_full"), F.col("c"))), F.lit(0)).alias("_s"), F.sum(F.when(~F.col("_full"), F.col("w"))).alias("_rest"))
     rest = F.expr(f"(cast({budget} - _s as decimal(19,0)) * cast(w as decimal(19,0))) div _rest")
     return marked.join(spent, by).withColumn("got", F.when(F.col("_full"), F.col("c")).otherwise(rest)).drop("_top", "_k", "_e", "_level", "_full", "_s", "_rest")
@@ -91,7 +91,8 @@ def leaf_plan(slim: DataFrame, weights: dict, percent: int, max_epochs: int, see
     for depth, level in enumerate(TREE):
         path = list(TREE[: depth + 1])
         nodes = plan.groupBy(*path).agg(F.first("budget").alias("budget"), F.first(f"w_{level}").alias("w"), F.sum("cap").alias("c"))
-        plan = plan.drop("budget").join(share(nodes, path[:-1], "budget").select(*path, F.col("got").alias("budget")), path)
+        nodes = staged(nodes, "nodes")
+        plan = staged(plan.drop("budget").join(share(nodes, path[:-1], "budget").select(*path, F.col("got").alias("budget")), path), "budgets")
     plan = staged(plan.select(*TREE, F.expr("int(budget div tokens)").alias("whole"), F.expr("budget % tokens").alias("rest")), "mixleaves")
     keyed = slim.join(plan, list(TREE)).withColumn("key", order_key(seed, F.col("whole"), F.col("doc_id"), F.col("digest"))).withColumn("bucket", F.substring("key", 1, 3))
     sums = keyed.filter("rest > 0").groupBy(*TREE, "rest", "bucket").agg(F.sum("tokens").alias("t"))
