@@ -1,15 +1,16 @@
 """Language identification by word-first backoff.
 
 Learning counts words and, from the same words, character 1- to 4-grams (with word borders) per language over all
-training documents. The words with the largest counts are broadcast, as many as `cells` numbers allow; all other known
-words stay in a table. Grams are chosen by their largest share in any language, so that a language with few documents
-keeps its own, and are broadcast, at most `grams` of each order: only what an unseen word is told by is bounded.
+training documents. A word is known from `least` occurrences on. The known words with the largest counts are broadcast,
+as many as `cells` numbers allow; all others stay in a table, of which a Bloom filter of bounded size is broadcast. Grams
+are chosen by their largest share in any language, so that a language with few documents keeps its own, and are broadcast,
+at most `max_grams` of each order: only what an unknown word is told by is bounded.
 
-A known word scores by its smoothed log frequency in each language, relative to all languages; an unseen word by the
+A known word scores by its smoothed log frequency in each language, relative to all languages; an unknown word by the
 mean over its longest known grams: 4-grams, or else 3-, 2- and 1-grams. A text is first scored with the broadcast words,
-others counting as unseen; those of them that the table has are then joined, each with the difference that knowing it
-makes, so that no learned word is left out. A document's score is the posterior of the best language, words and
-languages' shares of the training documents taken as independent.
+others by grams; those of them that pass the filter are then joined to the table, each with the difference that knowing it
+makes, so that no known word is left out. A document's score is the posterior of the best language, words and languages'
+shares of the training documents taken as independent.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 (letters are those of Unicode: numerals are
 none); so is every text if nothing could be learned; rows with a null lang or text teach nothing; ties go to the first
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ from .common import doc_fold, most_frequent, staged, table
 NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 WORDS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 ORDERS = (4, 3, 2, 1)
-FLUSH, KEPT = 200_000, 200_000
+FLUSH, KEPT, BLOOM = 200_000, 200_000, 1 << 25
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -90,6 +92,7 @@ class Model:
         self.words = tables[0][1] if tables else np.zeros((0, 0), np.float32)
         self.grams = {n: {g: i for i, g in enumerate(tables[n][0])} for n in ORDERS} if tables else {}
         self.gram_rows = {n: tables[n][1] for n in ORDERS} if tables else {}
+        self.bloom: np.ndarray | None = None  # of the words in the table
         self.met: dict[str, int] = {}
         self.rows: np.ndarray | None = None
 
@@ -128,10 +131,16 @@ class Model:
         at = np.array(self.at(list(found)))
         times = np.fromiter(found.values(), np.float64, len(found))
         rows = self.prior + times @ self.rows[at]
+        if self.bloom is None:
+            return rows, [], []
         words = list(found)
-        rest = [words[i] for i in np.nonzero(at >= len(self.words))[0]]
+        rest = [w for w in map(words.__getitem__, np.nonzero(at >= len(self.words))[0]) if self.maybe(w)]
         return rows, rest, [found[w] for w in rest]
 
+    def maybe(self, word: str) -> bool:
+        h = xxhash.xxh64_intdigest(word.encode(errors="surrogatepass"), 42)
+        return all(self.bloom[p >> 6] >> np.uint64(p & 63) & np.uint64(1) for p in (h % BLOOM, (h >> 32) % BLOOM))
+
 
 def shares(count: np.ndarray, size: np.ndarray, distinct: int) -> np.ndarray:
     """Log of each row's smoothed share in each language, relative to all languages."""
@@ -151,9 +160,38 @@ def counted(by: pd.Series, column: dict[str, int]) -> np.ndarray:
     return count
 
 
-def train(docs: DataFrame, cells: int = 400_000, max_grams: int = 65_536) -> tuple[Model, DataFrame | None]:
-    """Model of rows (text, lang), and the table (word, more: what knowing it adds) of the words it does not hold.
-    cells: numbers in the words' broadcast part, words times languages; max_grams: grams of each order."""
+def rows_of(by: DataFrame, column: dict[str, int], size: np.ndarray, distinct: int) -> DataFrame:
+    """(gram, row: the bytes of its float32 log shares) of rows (gram, by)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                yield pd.DataFrame({"gram": part["gram"], "row": [x.tobytes() for x in shares(counted(part["by"], column), size, distinct)]})
+
+    return by.select("gram", "by").mapInPandas(run, "gram string, row binary")
+
+
+def fetched(rows: DataFrame, langs: int) -> tuple[list[str], np.ndarray]:
+    """Of a bounded number of rows (gram, row), by gram."""
+    found = sorted((r["gram"], bytes(r["row"])) for r in rows.collect())
+    return [g for g, _ in found], np.frombuffer(b"".join(r for _, r in found), np.float32).reshape(-1, langs)
+
+
+def bloom_of(words: DataFrame) -> np.ndarray:
+    """Bits of the words' hashes, as Spark and Python both make them; at most BLOOM / 64 rows come to the driver."""
+    h = F.xxhash64("gram")
+    place = lambda x: F.pmod(x, F.lit(BLOOM))  # noqa: E731  BLOOM divides 2 ** 32, so that signs do not matter
+    at = words.select(F.explode(F.array(place(h), place(F.shiftrightunsigned(h, 32)))).alias("at"))
+    held = np.zeros(BLOOM // 64, np.uint64)
+    for r in at.groupBy(F.floor(F.col("at") / 64).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits")).toLocalIterator():
+        held[r["k"]] = np.uint64(r["bits"] % (1 << 64))
+    return held
+
+
+def train(docs: DataFrame, cells: int = 800_000, max_grams: int = 65_536, least: int = 5) -> tuple[Model, DataFrame | None]:
+    """Model of rows (text, lang), and the table (word, more: what knowing it adds) of the known words it does not hold.
+    cells: numbers in the words' broadcast part, words times languages; max_grams: grams of each order; least: occurrences
+    from which a word is known."""
     known = docs.select("text", "lang").filter("text is not null and lang is not null")
     languages = known.groupBy("lang").count().toPandas()
     langs = sorted(languages["lang"])
@@ -167,33 +205,32 @@ def train(docs: DataFrame, cells: int = 400_000, max_grams: int = 65_536) -> tup
     column = {x: j for j, x in enumerate(langs)}
     of = lambda sizes: np.array([sizes.get(x, 0) for x in langs], np.float64)
     size = of({r["lang"]: r["n"] for r in total(words, "lang").collect()})
-    table_ = staged(by_gram(words), "known")
+    table_ = staged(by_gram(words).filter(F.col("all") >= least), "known")
     distinct = table_.count()
     held = staged(most_frequent(table_, "all", max(1, cells // len(langs)), "gram"), "held")
-    top = held.toPandas().sort_values("gram")
-    tables = {0: (list(top["gram"]), shares(counted(top["by"], column), size, distinct))}
+    tables = {0: fetched(rows_of(held, column, size, distinct), len(langs))}
     sizes = {(r["kind"], r["lang"]): r["n"] for r in total(parts, "kind", "lang").collect()}
     for kind in ORDERS:
         own, in_order = by_gram(parts.filter(F.col("kind") == kind)), {x: max(sizes.get((kind, x), 0), 1) for x in langs}
         share = F.array_max(F.transform("by", lambda x: x["n"] / F.element_at(F.create_map(*(F.lit(y) for kv in in_order.items() for y in kv)), x["lang"])))  # noqa: B023
-        picked = most_frequent(own.withColumn("share", share * (1 << 40)), "share", max_grams, "gram").toPandas().sort_values("gram")
-        tables[kind] = (list(picked["gram"]), shares(counted(picked["by"], column), of({x: n for (k, x), n in sizes.items() if k == kind}), len(picked)))
+        picked = staged(most_frequent(own.withColumn("share", share * (1 << 40)), "share", max_grams, "gram"), "picked")
+        tables[kind] = fetched(rows_of(picked, column, of({x: n for (k, x), n in sizes.items() if k == kind}), picked.count()), len(langs))
     model = Model(langs, prior, tables)
-    if len(top) == distinct:
+    if len(tables[0][0]) == distinct:
         return model, None
+    rest = staged(rows_of(table_.join(held.select("gram"), "gram", "left_anti"), column, size, distinct), "rest")
+    model.bloom = bloom_of(rest)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def more(some: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in some:
-            rows = shares(counted(part["by"], column), size, distinct)
-            yield pd.DataFrame({"word": part["gram"], "more": [row - shared.value.unseen(w) for w, row in zip(part["gram"], rows)]})
+            yield pd.DataFrame({"word": part["gram"], "more": [np.frombuffer(r, np.float32) - shared.value.unseen(w) for w, r in zip(part["gram"], part["row"])]})
 
-    rest = table_.join(held.select("gram"), "gram", "left_anti").select("gram", "by")
     return model, staged(rest.mapInPandas(more, "word string, more array<float>"), "rare")
 
 
-def predict(docs: DataFrame, model: Model, rare: DataFrame | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, rare: DataFrame | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
+    """docs (of their columns those to keep) with the language and its score under the given names."""
     held, langs = docs.sparkSession.sparkContext.broadcast(model), model.langs
 
     @F.pandas_udf("rows array<double>, words array<string>, times array<long>")
@@ -201,8 +238,8 @@ def predict(docs: DataFrame, model: Model, rare: DataFrame | None, text: str = "
         found = list(zip(*map(held.value.score, texts))) or [(), (), ()]
         return pd.DataFrame({c: pd.Series([None if x is None else list(x) for x in own], dtype=object) for c, own in zip(("rows", "words", "times"), found)})
 
-    docs = docs.drop("lang_pred", "score")
-    scored = docs.withColumn("__p", start(F.col(text)))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    scored = docs.withColumn("__p", start(F.col(text))).select(*kept, "__p")
     rows = F.col("__p.rows")
     if rare is not None:
         scored = staged(scored.withColumn("__row", F.monotonically_increasing_id()), "started")
@@ -213,7 +250,7 @@ def predict(docs: DataFrame, model: Model, rare: DataFrame | None, text: str = "
     scored = scored.withColumn("__rows", rows).withColumn("__best", F.array_max("__rows"))
     best = F.get(F.array(*map(F.lit, langs)), (F.array_position("__rows", F.col("__best")) - 1).cast("int")) if langs else F.lit(None)
     sure = 1 / F.aggregate("__rows", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__best")))
-    return scored.select(*docs.columns, F.coalesce(best, F.lit("und")).alias("lang_pred"), F.coalesce(sure, F.lit(0.0)).alias("score"))
+    return scored.select(*kept, F.coalesce(best, F.lit("und")).alias(names[0]), F.coalesce(sure, F.lit(0.0)).alias(names[1]))
 
 
 def split_fold(doc_id: Column) -> Column:
@@ -224,4 +261,4 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = split_fold(F.col("doc_id"))
     model, rare = train(docs.filter(~held_out))
-    return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, rare).drop("text")
+    return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, rare, keep=["doc_id", "held_out"])

@@ -11,7 +11,8 @@ them; the pair then counts if all words together differ in at most the budget. W
 tries, a block's bits may not differ at all, so that each fingerprint goes to one node of each trie and no link is lost.
 
 The upper trie is walked on the driver over nodes alone, whose counts come from one aggregation: a node is split until it
-holds at most `most` fingerprints (more, if there are more than 65,536 nodes' worth); one whose bits end before is dealt
+holds at most `most` fingerprints, what a task's memory bears with ease (more, where the driver would have too many
+nodes); one whose bits end before is dealt
 in chunks by hash. Each surviving pair of leaf nodes is a block for one task, which walks the lower trie of that pair in
 arrays. A task returns a spanning forest of the links it finds, not the links, so that a dense group of m fingerprints
 gives fewer than m rows.
@@ -264,7 +265,7 @@ class Plan:
         return np.repeat(np.arange(len(key)), times), to[at, 0], to[at, 1]
 
 
-def links(distinct: DataFrame, budget: int = 2, tries: int = 3, bits: int | None = None, walked: int = 0, most: int = 32768, depth: int = 18, few: int = 0, more: int = 0, more_budget: int = 0) -> DataFrame:
+def links(distinct: DataFrame, budget: int = 2, tries: int = 3, bits: int | None = None, walked: int = 0, most: int = 1 << 18, depth: int = 18, few: int = 0, more: int = 0, more_budget: int = 0) -> DataFrame:
     """Spanning edges (u, v) by id of distinct (id, fp: binary words, class) within budget differing bits.
 
     Each trie is over a block of `bits` bits (unset: its share of the first word, then all other bits of it, whose walk
