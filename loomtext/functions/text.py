@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import unicodedata
-from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Invisible characters that are removed, letters folded to ASCII, and words without content.
@@ -26,7 +27,7 @@ def squeeze(c: Column) -> Column:
 
 
 def compose(c: Column) -> Column:
-    """NFC, which Spark has no function for; only needed where texts may be decomposed."""
+    """NFC of any text; needs Python. `composed` does without, for most scripts."""
 
     @F.pandas_udf("string")
     def nfc(text: pd.Series) -> pd.Series:
@@ -35,9 +36,43 @@ def compose(c: Column) -> Column:
     return nfc(c)
 
 
+def _clusters() -> dict[str, str]:
+    """Letters with marks in all their equal spellings, and their composed forms, from the Unicode data."""
+    out = {}
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x900, 0x1100), *range(0x1E00, 0x1F00), *range(0x3040, 0x3100)):
+        char = chr(code)
+        base, *marks = unicodedata.normalize("NFD", char)
+        if not marks or unicodedata.normalize("NFC", char) != char:
+            continue
+        for order in itertools.permutations(marks):
+            for k in range(len(marks)):
+                spelling = unicodedata.normalize("NFC", base + "".join(order[:k])) + "".join(order[k:])
+                if unicodedata.normalize("NFC", spelling) == char:
+                    out[spelling] = char
+    return out
+
+
+CLUSTERS = _clusters()
+
+
+def composed(c: Column) -> Column:
+    """NFC in the JVM of Latin, Greek, Cyrillic, Indic and Japanese letters: those followed by marks, in canonical order, are
+    looked up and their text is joined again; texts without marks pass."""
+    known = F.from_json(F.lit(json.dumps(CLUSTERS)), "map<string,string>")
+    each = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)(\P{M}\p{M}+|\P{M}+(?!\p{M})|\p{M}+)"), F.lit(1)), lambda x: F.coalesce(F.try_element_at(known, x), F.concat(F.try_element_at(known, F.substring(x, 1, 2)), F.substring(x, 3, 1 << 20)), x))
+    return F.when(c.rlike(r"\p{M}"), F.array_join(each, "")).otherwise(c)
+
+
 def fold(c: Column) -> Column:
-    """Matching form: no invisible characters, lower case, folded letters, other marks to spaces, single spaces."""
-    return squeeze(F.regexp_replace(F.translate(F.lower(F.regexp_replace(c, INVISIBLE, "")), MARKED, PLAIN), NOT_WORD, " "))
+    """Matching form: no invisible characters, composed, lower case, folded letters, other marks to spaces, single spaces."""
+    return squeeze(F.regexp_replace(F.translate(F.lower(composed(F.regexp_replace(c, INVISIBLE, ""))), MARKED, PLAIN), NOT_WORD, " "))
+
+
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once a row, wherever they are used: a filter on them is not moved below."""
+    for name, c in columns.items():
+        rows = rows.select(*(x for x in rows.columns if x != name), F.explode(F.array(c)).alias(name))
+    return rows
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -63,9 +98,13 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
 
+# Fixed value: where sentences end.
+BOUNDARY = r"(?:\r?\n)+|[.!?;؛।॥]+\s*"
+
+
 def segments(c: Column) -> Column:
     """Sentences or lines of two words or more; the whole text if there is none."""
-    parts = F.transform(F.split(c, r"(?:\r?\n)+|[.!?;؛।॥]+\s*"), lambda x: F.regexp_replace(x, "^[ \t‘’“”\"'-]+|[ \t‘’“”\"'-]+$", ""))
+    parts = F.transform(F.split(c, BOUNDARY), lambda x: F.regexp_replace(x, "^[ \t‘’“”\"'-]+|[ \t‘’“”\"'-]+$", ""))
     long_ = F.filter(parts, lambda x: F.size(F.split(squeeze(x), " ")) >= 2)
     return F.when(F.size(long_) > 0, long_).when(F.trim(c) != "", F.array(F.trim(c))).otherwise(F.array().cast("array<string>"))
 
@@ -181,7 +220,3 @@ def probes(c: Column, least: int = 8) -> Column:
     longest = F.array_sort(F.transform(clauses, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
     tail = F.when(F.size(clauses) > 0, F.array(F.get(longest, F.lit(0))["x"])).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(clauses, F.array(squeeze(c)), tail))
-
-
-def any_of(c: Column, values: Sequence[str]) -> Column:
-    return c.isin(list(values))

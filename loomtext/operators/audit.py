@@ -32,6 +32,39 @@ def group_outliers(rows: DataFrame, group: str, value: str, low: float = 0.75, h
     return out.filter((F.col("ratio") < low) | (F.col("ratio") > high))
 
 
+def method_summary(rows: DataFrame, method: str, fullness: str, control: str, weak_below: float = 0.6) -> DataFrame:
+    """(method, n, median, p25, weak): of each method's fullness; weak: how many fall below a share of the control method's
+    median, 0 without one. p25 is the value at a quarter of the sorted ones."""
+    middle = rows.filter(F.col(method) == control).agg(F.percentile(fullness, F.lit(0.5)).alias("m"))
+    with_m = rows.join(middle)  # one row
+    return with_m.groupBy(method).agg(
+        F.count("*").alias("n"), F.percentile(fullness, F.lit(0.5)).alias("median"), F.element_at(F.array_sort(F.collect_list(fullness)), (F.floor(F.count("*") / 4) + 1).cast("int")).alias("p25"),
+        F.count_if(F.col(fullness) < F.col("m") * weak_below).alias("weak"))
+
+
+def baseline_by_group(rows: DataFrame, group: str, hits: Column, total: Column) -> DataFrame:
+    """(group, n, percent): the mean share of a group's rows, in percent."""
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(100 * hits / F.greatest(total, F.lit(1))), 4).alias("percent"))
+
+
+def unit_report(rows: DataFrame, corpus: str, file: str, passages: Column, exact: Column, top: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(by corpus and in all, the `top` files with most passages that land on no unit)."""
+    n = F.sum(passages).alias("passages")
+    by = rows.rollup(corpus).agg(F.count("*").alias("sections"), n, F.count_if(exact).alias("units"), F.coalesce(F.sum(F.when(~exact, passages)), F.lit(0)).alias("missed"))
+    files = rows.filter(~exact).groupBy(file).agg(n).orderBy(F.desc("passages"), file).limit(top)
+    return by, files
+
+
+def suffix_profile(rows: DataFrame, group: str, title: Column, tails: list[str], top: int = 4) -> DataFrame:
+    """(group, n, with_tail, tails): how many titles of a group end in one of the tails, and its `top` last words by number."""
+    ended = title.rlike(f"(?:{'|'.join(tails)})$")
+    word = F.element_at(F.split(title, " "), -1)
+    counts = rows.withColumns({"__w": word, "__e": ended}).groupBy(group, "__w").agg(F.count("*").alias("c"), F.count_if("__e").alias("e"))
+    ranked = counts.withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("c"), "__w")))
+    best = F.array_sort(F.collect_list(F.when(F.col("__k") <= top, F.struct("__k", F.concat_ws(":", "__w", F.col("c").cast("string")).alias("t")))))
+    return ranked.groupBy(group).agg(F.sum("c").alias("n"), F.sum("e").alias("with_tail"), F.array_join(F.transform(best, lambda x: x["t"]), " ").alias("tails"))
+
+
 def level_profile(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:
     """Count, median and largest span, and how many ranges overlap the one before."""
     w = Window.partitionBy(group).orderBy(start, end)

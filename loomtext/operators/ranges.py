@@ -74,12 +74,18 @@ def clip_overreach(sections: DataFrame, key: str) -> DataFrame:
     return s.join(cut, "id", "left").withColumn("end", F.coalesce(F.col("__cut") - 1, F.col("end"))).withColumn("clipped", F.col("__cut").isNotNull()).drop("__cut")
 
 
+def below(sections: DataFrame, key: str) -> DataFrame:
+    """(id, child, c_start, c_end, depth): sections and those below them by path and range. A child looks for each
+    beginning of its path, so that a document's sections do not all meet."""
+    s = closed(sections).select(key, "id", "start", "end", "path")
+    heads = F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.slice("path", 1, i)))
+    child = s.filter(F.size("path") > 1).select(key, F.col("id").alias("child"), F.col("start").alias("c_start"), F.col("end").alias("c_end"), F.size("path").alias("depth"), heads.alias("path"))
+    return s.join(child, [key, "path"]).filter("c_start >= start and c_end <= end").select(key, "id", "start", "end", "child", "c_start", "c_end", "depth")
+
+
 def outline(sections: DataFrame, key: str, least: int = 2) -> DataFrame:
     """(parent, child): of each section, the sections of the shallowest depth below it that has at least `least`."""
-    s = closed(sections).select(key, "id", "start", "end", "path")
-    child = s.select(key, F.col("id").alias("child"), F.col("start").alias("c_start"), F.col("end").alias("c_end"), F.col("path").alias("c_path"))
-    below = s.join(child, key).filter((F.col("c_start") >= F.col("start")) & (F.col("c_end") <= F.col("end")) & (F.size("c_path") > F.size("path")) & path_is_prefix(F.col("path"), F.col("c_path")))
-    layer = below.withColumn("depth", F.size("c_path")).withColumn("n", F.count("*").over(Window.partitionBy("id", "depth"))).filter(F.col("n") >= least)
+    layer = below(sections, key).withColumn("n", F.count("*").over(Window.partitionBy("id", "depth"))).filter(F.col("n") >= least)
     top = layer.withColumn("least", F.min("depth").over(Window.partitionBy("id"))).filter("depth = least")
     return top.select(F.col("id").alias("parent"), "child", "c_start", "depth")
 

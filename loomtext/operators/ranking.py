@@ -99,9 +99,10 @@ def match_reason(keyword: Column, concept: Column, semantic: Column) -> Column:
 
 
 def dedup_by_hash(rows: DataFrame, text_hash: str, translated: Column, corpus: Column, score_: str, key: str) -> DataFrame:
-    """The preferred row of each text: with a translation, then by corpus, then by score, then by key."""
-    w = Window.partitionBy(text_hash).orderBy(F.desc(translated.cast("int")), F.desc(value_of(corpus, CORPUS_RANK)), F.desc(score_), key)
-    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """The preferred row of each text: with a translation, then by corpus, then by score, then by key. One aggregation, so
+    that the copies of a text meet as partial results only."""
+    order = F.struct((-F.coalesce(translated, F.lit(False)).cast("int")).alias("a"), (-value_of(corpus, CORPUS_RANK)).alias("b"), (-F.col(score_)).alias("c"), F.col(key).alias("d"))
+    return rows.groupBy(F.col(text_hash).alias("__h")).agg(F.min_by(F.struct(*rows.columns), order).alias("__r")).select("__r.*")
 
 
 def above_or_all(rows: DataFrame, score_: str, least: float) -> DataFrame:
@@ -137,8 +138,8 @@ def source_family(path: Column) -> Column:
 
 
 def diversify(rows: DataFrame, rank: str, words_: str, family: str, top: int = 400) -> DataFrame:
-    """`position`: of the best `top` rows, those too like a better one go behind the others, in their order. The list is
-    a page source and bounded by `top`."""
+    """`position`: among the best `top` rows, those too like a better one go behind the others, in their order; all rows
+    behind them keep theirs. rank numbers the rows from 1."""
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple[set, str]] = []
@@ -158,7 +159,8 @@ def diversify(rows: DataFrame, rank: str, words_: str, family: str, top: int = 4
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", position int"
-    return rows.orderBy(rank).limit(top).groupBy(F.lit("top")).applyInPandas(order, schema)
+    head = rows.filter(F.col(rank) <= top).groupBy(F.lit("top")).applyInPandas(order, schema)
+    return head.unionByName(rows.filter(F.col(rank) > top).withColumn("position", F.col(rank).cast("int")))
 
 
 def rerank_blend(rows: DataFrame, relevance: DataFrame, key: str, score_: str) -> DataFrame:
@@ -210,3 +212,17 @@ def first_step_with_rows(steps: Sequence[str], search) -> tuple[str, DataFrame]
         if not found.isEmpty():
             return s, found
     return None
+
+
+def random_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """n rows by a seeded hash of their key: the same ones on every run, wherever they lie."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def preceding(rows: DataFrame, points: DataFrame, key: str, at: str, reach: int = 140) -> DataFrame:
+    """(point, at of the row before it, distance): the rows of its document within reach before each point, nearest first by
+    `distance`. A join by buckets of `reach` positions, of which a point meets two."""
+    b = F.floor(F.col(at) / reach)
+    p = points.select("point", key, F.col(at).alias("__at"), F.explode(F.array(b, b - 1)).alias("__b"))
+    met = p.join(rows.withColumn("__b", b), [key, "__b"]).filter((F.col(at) < F.col("__at")) & (F.col(at) >= F.col("__at") - reach))
+    return met.withColumn("distance", F.col("__at") - F.col(at)).drop("__at", "__b")

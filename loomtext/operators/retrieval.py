@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import cosine, jaccard, padded_grams
+from ..functions.similarity import cosine, grams, jaccard, padded_grams
 
 
 def escaped(term: str) -> str:
@@ -85,34 +86,68 @@ def gated(rows: DataFrame, text: str, narrow: Sequence[str], wide: Sequence[str]
 
 def cover_rank(text: Column, terms: Sequence[str]) -> Column:
     """Deterministic cover density: matched words per word between the first and the last match."""
-    at = F.filter(F.transform(F.split(text, " "), lambda w, i: F.when(F.exists(F.array(*map(F.lit, terms)), lambda t: F.startswith(w, t)), i)), lambda i: i.isNotNull())
+    hit = lambda w: reduce(lambda a, t: a | F.startswith(w, F.lit(t)), terms, F.lit(False))
+    at = F.filter(F.transform(F.split(text, " "), lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull())
     return F.when(F.size(at) == 0, 0.0).otherwise(F.size(at) / (F.array_max(at) - F.array_min(at) + 1))
 
 
+def word_similarity(query: str, text: Column) -> Column:
+    """The largest similarity of the query's padded trigrams with those of a run of words of the folded text, as long as the
+    query or one word shorter or longer."""
+    n = len(query.split())
+    own = padded_grams(F.lit(query))
+    w = F.split(text, " ")
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: jaccard(own, padded_grams(F.array_join(F.slice(w, i, F.lit(k)), " "))))
+    return F.array_max(F.concat(*(runs(k) for k in {max(1, n - 1), n, n + 1})))
+
+
+def all_terms(text: Column, terms: Sequence[str]) -> Column:
+    """All terms are words of the folded text."""
+    return reduce(lambda a, t: a & F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {t} "), dict.fromkeys(terms), F.lit(True))
+
+
 def vector_neighbours(rows: DataFrame, key: str, vector: str, query: Sequence[float], k: int) -> DataFrame:
     """The k nearest by cosine to one query vector, ties to the smaller key."""
     score = cosine(F.col(vector), F.array(*(F.lit(float(x)) for x in query)))
     return rows.withColumn("score", score).filter("score is not null").orderBy(F.desc("score"), key).limit(k)
 
 
-def trigram_best(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str, least: float = 0.3, common: int | None = None) -> DataFrame:
-    """Pairs whose padded trigrams have a Jaccard similarity of at least `least`, by a join on grams. Each side's distinct
-    texts are compared once. A pair at `least` shares a gram among the rarest (1 - least) of each side's grams, so that
-    the most frequent ones need not be joined."""
-    a = left.select(F.col(left_key).alias("l"), padded_grams(F.col(left_text)).alias("lg"))
-    b = right.select(F.col(right_key).alias("r"), padded_grams(F.col(right_text)).alias("rg"))
-    often = a.select(F.explode("lg").alias("g")).unionAll(b.select(F.explode("rg"))).groupBy("g").count()
+def rare_first(rows: DataFrame, key: str, items: str, often: DataFrame, share: float) -> DataFrame:
+    """(key, g): of each row's set, rarest first, as many that any set which has `share` of it has one of them."""
+    ranked = rows.select(key, F.size(items).alias("n"), F.explode(items).alias("g")).join(often, "g").groupBy(key).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "g"))).alias("gs"))
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1
+    return ranked.select(key, F.explode(F.slice("gs", 1, keep.cast("int"))).alias("x")).select(key, F.col("x.g").alias("g"))
 
-    def rarest(rows: DataFrame, key: str, own: str) -> DataFrame:
-        ranked = rows.select(key, F.size(own).alias("n"), F.explode(own).alias("g")).join(often, "g").groupBy(key).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "g"))).alias("gs"))
-        keep = F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1
-        return ranked.select(key, F.explode(F.slice("gs", 1, keep.cast("int"))).alias("x")).select(key, F.col("x.g").alias("g"))
 
-    met = rarest(a, "l", "lg").join(rarest(b, "r", "rg"), "g").select("l", "r").distinct()
-    scored = met.join(a, "l").join(b, "r").withColumn("score", jaccard(F.col("lg"), F.col("rg")))
+def set_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(l, r, score) of sets (l, s) and (r, s) whose Jaccard similarity is at least `least`, by a join on their rarest
+    items alone: a pair at `least` shares one among the rarest (1 - least) of each side's. A row's key names one set."""
+    often = a.select(F.explode("s").alias("g")).unionAll(b.select(F.explode("s"))).groupBy("g").count()
+    met = rare_first(a, "l", "s", often, least).join(rare_first(b, "r", "s", often, least), "g").select("l", "r").distinct()
+    scored = met.join(a.select("l", F.col("s").alias("ls")), "l").join(b.select("r", F.col("s").alias("rs")), "r").withColumn("score", jaccard(F.col("ls"), F.col("rs")))
     return scored.filter(F.col("score") >= least).select("l", "r", "score")
 
 
+def trigram_best(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str, least: float = 0.3) -> DataFrame:
+    """Pairs whose padded trigrams have a Jaccard similarity of at least `least`."""
+    return set_pairs(left.select(F.col(left_key).alias("l"), padded_grams(F.col(left_text)).alias("s")), right.select(F.col(right_key).alias("r"), padded_grams(F.col(right_text)).alias("s")), least)
+
+
+def dice_pairs(left: DataFrame, right: DataFrame, least: float = 0.65, margin: float = 0.1) -> DataFrame:
+    """(l, r, score, covered) of texts (l, text) and (r, text): Dice of their distinct trigrams and the share of the left
+    one's that the right one has, for all pairs at `least` less `margin` or more. The right side's texts should be distinct.
+    Such a pair shares a known part of the left one's trigrams, so that the left side's rarest ones find it."""
+    low = least - margin
+    a = left.select("l", grams(F.col("text"), 3).alias("s")).filter(F.size("s") > 0)
+    b = right.select("r", grams(F.col("text"), 3).alias("s"))
+    often = b.select(F.explode("s").alias("g")).groupBy("g").count()
+    known = a.select("l", F.explode("s").alias("g")).select("g").distinct().join(often, "g", "left").select("g", F.coalesce("count", F.lit(0)).alias("count"))
+    asked = rare_first(a, "l", "s", known, low / (2 - low))
+    met = b.select("r", F.explode("s").alias("g")).join(asked, "g").select("l", "r").distinct()
+    both = met.join(a.select("l", F.col("s").alias("ls")), "l").join(b.select("r", F.col("s").alias("rs")), "r").withColumn("c", F.size(F.array_intersect("ls", "rs")))
+    return both.select("l", "r", (2 * F.col("c") / (F.size("ls") + F.size("rs"))).alias("score"), (F.col("c") / F.size("ls")).alias("covered")).filter(F.col("score") >= low)
+
+
 def postings(rows: DataFrame, key: str, text: str, least: int = 5) -> DataFrame:
     """(token, key, positions) of the words with at least `least` letters."""
     return rows.select(key, F.posexplode(F.split(text, " ")).alias("p", "token")).filter(F.length("token") >= least).groupBy("token", key).agg(F.sort_array(F.collect_list("p")).alias("positions"))

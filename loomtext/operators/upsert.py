@@ -103,3 +103,63 @@ def bump_version(current: DataFrame, incoming: DataFrame, content: list[str]) ->
     a, b = current.alias("a"), incoming.alias("b")
     same = reduce(lambda x, y: x & y, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in content))
     return b.join(a, F.lit(True), "left").select(*(F.col(f"b.{c}") for c in content), F.when(same, F.col("a.version")).otherwise(F.coalesce("a.version", F.lit(0)) + 1).alias("version"))
+
+
+def reshape_ranges(current: DataFrame, passages: DataFrame, ids: list[str], key: str = "id") -> DataFrame:
+    """current with the range rows of the given ids replaced by a row for each passage (doc_id, sort_order, passage_id, text)
+    in their range."""
+    going = current.filter(F.col(key).isin(ids) & F.col("start").isNotNull())
+    stays = current.join(going.select(key), key, "left_anti")
+    made = going.drop("text", "passage_id").join(passages, "doc_id").filter(F.col("sort_order").between(F.col("start"), F.coalesce("end", "start")))
+    return stays.unionByName(made.withColumns({"start": F.lit(None).cast(current.schema["start"].dataType), "end": F.lit(None).cast(current.schema["end"].dataType)}).select(current.columns))
+
+
+def owned_runs(rows: DataFrame, runs: DataFrame, key: str, at: str, owner: str) -> DataFrame:
+    """(run, owned, strange_before, strange_after): whether all rows from a run's start to its end are the owner's, and whether
+    the neighbours on both sides are another's. runs (run, key, owner, start, end)."""
+    r = runs.select("run", key, F.col(owner).alias("__owner"), "start", "end")
+    met = rows.join(r, key).filter(F.col(at).between(F.col("start") - 1, F.col("end") + 1))
+    own, inside = F.col(owner).eqNullSafe(F.col("__owner")), F.col(at).between(F.col("start"), F.col("end"))
+    n = met.groupBy("run").agg(F.count_if(inside & own).alias("a"), F.max(F.col("end") - F.col("start") + 1).alias("n"), F.count_if(own & (F.col(at) < F.col("start"))).alias("b"), F.count_if(own & (F.col(at) > F.col("end"))).alias("c"))
+    return n.select("run", (F.col("a") == F.col("n")).alias("owned"), (F.col("b") == 0).alias("strange_before"), (F.col("c") == 0).alias("strange_after"))
+
+
+def replacement_ids(old: DataFrame, new: DataFrame, group: str, content: list[str]) -> DataFrame:
+    """(id) of old ranges that new ones replace, in groups that may be replaced and but for rows that stay as they are."""
+    fine = replaceable(old, new, group).filter("replaceable").select(group)
+    same = old.join(new.select(group, "start", "end", *content), [group, "start", "end", *content], "left_semi").select("id")
+    return old.join(fine, group).join(same, "id", "left_anti").select("id")
+
+
+def apply_repoint(current: DataFrame, moves: DataFrame, key: str, target: str) -> DataFrame:
+    """current with the moves that are not blocked; refuses if any is."""
+    if not moves.filter("action = 'blocked'").isEmpty():
+        raise ValueError("a target is taken")
+    to = moves.select(key, F.col("to").alias("__to"))
+    return current.join(to, key, "left").withColumn(target, F.coalesce("__to", target)).drop("__to")
+
+
+def staged_write(df: DataFrame, path: str) -> None:
+    """Replaces a folder as a whole: written beside it first, so that a failure leaves the old one, and moved by two renames
+    of the file system that holds it."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    df.write.mode("overwrite").parquet(f"{path}.next")
+    fs.delete(at(f"{path}.old"), True)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(f"{path}.old"))
+    fs.rename(at(f"{path}.next"), at(path))
+    fs.delete(at(f"{path}.old"), True)
+
+
+def backup_then_update(df: DataFrame, backup: str, keys: list[str], change: dict[str, Column]) -> DataFrame:
+    """df with changed columns, after its rows that change were written to a backup that must not exist yet."""
+    differ = reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe(x) for c, x in change.items()))
+    df.filter(differ).select(*keys, *change).write.mode("errorifexists").parquet(backup)
+    return df.withColumns(change)
+
+
+def without(current: DataFrame, keys: list, key: str) -> DataFrame:
+    """current without the rows of the given keys; all of them go if there are none: a truncation."""
+    return current.filter(~F.coalesce(F.col(key).isin(keys), F.lit(False))) if keys else current.limit(0)

@@ -53,7 +53,7 @@ SECTIONS = """sizes AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS
 
 
 def fold_sql(x: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(translate(lower(regexp_replace({x}, '{INVISIBLE}', '', 'g')), '{MARKED}', '{PLAIN}'), '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace(regexp_replace(translate(lower(nfc_normalize(regexp_replace({x}, '{INVISIBLE}', '', 'g'))), '{MARKED}', '{PLAIN}'), '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def folded(name: str = "f", source: str = "passages") -> str:

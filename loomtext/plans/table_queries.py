@@ -150,17 +150,17 @@ def running_total(t):
 
 
 def _versions(t):
-    """Two snapshots of translations made of labels: the second has other texts and methods."""
-    method = lambda c: F.when(c % 4 == 0, "manual").when(c % 4 == 1, "strict_unique").when(c % 4 == 2, "heuristic")
-    old = t("labels").groupBy("doc_id").agg(F.max("quality").alias("q")).filter("doc_id % 3 <> 0").select("doc_id", F.concat(F.lit("text "), F.col("q")).alias("text"), method(F.col("doc_id")).alias("method"))
-    new = t("documents").filter("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("text "), (F.col("doc_id") % 2 + F.col("doc_id") % 5 % 2).cast("string")).alias("text"), method(F.expr("doc_id div 2")).alias("method"))
-    return old, new
+    """Two snapshots of translations: of all labelled documents, and of all documents, with other texts and methods."""
+    method = lambda c, *names: F.when(c == 0, names[0]).when(c == 1, names[1]).otherwise(names[2] if len(names) > 2 else None)
+    old = t("labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("x")).select("doc_id", F.concat(F.lit("text "), F.col("q")).alias("text"), method(F.col("q") + F.col("x"), "heuristic", "strict_unique", "manual").alias("method"))
+    digit = F.right("source", F.lit(1)).try_cast("int")
+    new = t("documents").select("doc_id", F.concat(F.lit("text "), (F.col("n_chars") > 600).cast("int").cast("string")).alias("text"), method(digit, "manual", "strict_unique").alias("method"), "lang")
+    return old, new.drop("lang")
 
 
-_METHOD = "CASE {0} % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'strict_unique' WHEN 2 THEN 'heuristic' END"
 _R = "CASE {0} WHEN 'manual' THEN 50 WHEN 'strict_unique' THEN 40 WHEN 'heuristic' THEN 10 ELSE 0 END"
-_VERSIONS = f"""o AS (SELECT doc_id, 'text ' || max(quality) AS text, {_METHOD.format('doc_id')} AS method FROM labels WHERE doc_id % 3 <> 0 GROUP BY doc_id),
-n AS (SELECT doc_id, 'text ' || (doc_id % 2 + doc_id % 5 % 2) AS text, {_METHOD.format('(doc_id // 2)')} AS method FROM documents WHERE doc_id % 2 = 0)"""
+_VERSIONS = """o AS (SELECT doc_id, 'text ' || max(quality) AS text, CASE max(quality) + max(toxic) WHEN 0 THEN 'heuristic' WHEN 1 THEN 'strict_unique' ELSE 'manual' END AS method FROM labels GROUP BY doc_id),
+n AS (SELECT doc_id, 'text ' || CAST(n_chars > 600 AS INTEGER) AS text, CASE right(source, 1) WHEN '0' THEN 'manual' WHEN '1' THEN 'strict_unique' END AS method FROM documents)"""
 
 
 @query("precedence_upsert", f"""WITH {_VERSIONS}, j AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, o.text AS ot, o.method AS om, n.text AS nt, n.method AS nm, CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'keep'
@@ -170,10 +170,10 @@ def precedence_upsert(t):
     return P.precedence_upsert(*_versions(t), ["doc_id"], ["text"])
 
 
-@query("plan_actions", f"""WITH {_VERSIONS} SELECT n.doc_id, CASE WHEN n.doc_id % 10 = 0 THEN 'blocked' WHEN o.doc_id IS NULL THEN 'insert' WHEN o.text IS NOT DISTINCT FROM n.text AND o.method IS NOT DISTINCT FROM n.method THEN 'unchanged' ELSE 'update' END AS action FROM n LEFT JOIN o USING (doc_id)""")
+@query("plan_actions", f"""WITH {_VERSIONS} SELECT n.doc_id, CASE WHEN n.method = 'manual' THEN 'blocked' WHEN o.doc_id IS NULL THEN 'insert' WHEN o.text IS NOT DISTINCT FROM n.text AND o.method IS NOT DISTINCT FROM n.method THEN 'unchanged' ELSE 'update' END AS action FROM n LEFT JOIN o USING (doc_id)""")
 def plan_actions(t):
     old, new = _versions(t)
-    return P.plan(old, new, ["doc_id"], ["text", "method"], F.col("doc_id") % 10 == 0).select("doc_id", "action")
+    return P.plan(old, new, ["doc_id"], ["text", "method"], F.coalesce(F.col("method") == "manual", F.lit(False))).select("doc_id", "action")
 
 
 @query("archive_split", f"WITH {_VERSIONS} SELECT o.*, 'b2' AS replaced_by_batch FROM o WHERE doc_id IN (SELECT doc_id FROM n)")

@@ -21,7 +21,8 @@ CORPUS_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CORPUS
 
 
 def fold_passages(t):
-    return t("passages").withColumn("folded", T.fold(F.col("text")))
+    """Passages with their folded text, computed once a row."""
+    return T.computed(t("passages"), folded=T.fold(F.col("text")))
 
 
 @query("passage_explode", f"WITH {PASSAGES} SELECT doc_id, sort_order, text FROM passages")
@@ -156,36 +157,38 @@ def quote_segment_score(t):
     return fold_passages(t).select("doc_id", F.col("sort_order").cast("long").alias("sort_order"), F.round(K.quote_score(F.col("folded"), [s.split() for s in SEGMENTS], TERMS), 6).alias("score"))
 
 
-@query("jaccard_neardup_pairs", f"""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split({fold_sql('text')}, ' '), lambda x: length(x) >= 4)) AS w FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.1""")
+@query("jaccard_neardup_pairs", f"""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split({fold_sql('text')}, ' '), lambda x: length(x) >= 5 AND x NOT IN ({', '.join(f"'{x}'" for x in K.NOT_CONTENT)})))) AS w FROM documents),
+c AS (SELECT w, min(doc_id) AS doc_id, len(w) AS n FROM d GROUP BY w), e AS (SELECT doc_id, n, unnest(w) AS x FROM c)
+SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS jaccard FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= {K.NEAR}""")
 def jaccard_neardup_pairs(t):
-    w = t("benchmark").select("item_id", F.array_distinct(F.filter(T.words(T.fold(F.col("text"))), lambda x: F.length(x) >= 4)).alias("w"))
-    one = w.select("item_id", F.size("w").alias("n"), F.explode("w").alias("x"))
-    other = one.select(F.col("item_id").alias("b"), F.col("n").alias("m"), "x")
-    both = one.join(other, "x").filter("item_id < b").groupBy(F.col("item_id").alias("a"), "b").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
-    return both.withColumn("jaccard", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).filter("jaccard >= 0.1").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Documents whose sets of content words are alike; of documents with one set the first stands for all."""
+    words = t("documents").select("doc_id", F.array_sort(K.content_words(F.col("text"))).alias("s"))
+    sets = words.filter(F.size("s") > 0).groupBy("s").agg(F.min("doc_id").alias("doc_id"))
+    pairs = Q.set_pairs(sets.select(F.col("doc_id").alias("l"), "s"), sets.select(F.col("doc_id").alias("r"), "s"), K.NEAR).filter("l < r")
+    return pairs.select(F.col("l").alias("a"), F.col("r").alias("b"), F.round("score", 6).alias("jaccard"))
 
 
 def _grams_sql(x: str, n: int) -> str:
     return f"list_distinct(list_transform(range(1, length({x}) - {n - 2}), lambda i: substring({x}, i, {n})))"
 
 
-@query("trigram_similarity_topk", f"""WITH g AS (SELECT item_id, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: {_grams_sql("('  ' || w || ' ')", 3)}))) AS g FROM benchmark),
-s AS (SELECT a.item_id AS l, b.item_id AS r, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS score FROM g a JOIN g b ON a.item_id <> b.item_id)
-SELECT l, r, round(score, 6) AS score FROM s WHERE score >= 0.3""")
+@query("trigram_similarity_topk", f"""WITH {PASSAGES}, l AS (SELECT DISTINCT text FROM passages), g AS (SELECT item_id, text, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: {_grams_sql("('  ' || w || ' ')", 3)}))) AS g FROM benchmark),
+h AS (SELECT text, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: {_grams_sql("('  ' || w || ' ')", 3)}))) AS g FROM l),
+x AS (SELECT item_id, len(g) AS n, unnest(g) AS g FROM g), y AS (SELECT text, len(g) AS m, unnest(g) AS g FROM h), s AS (SELECT item_id, y.text, count(*) / (any_value(n) + any_value(m) - count(*)) AS score FROM x JOIN y USING (g) GROUP BY item_id, y.text HAVING count(*) / (any_value(n) + any_value(m) - count(*)) >= 0.4),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, text) AS k FROM s) SELECT item_id, text, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 5""")
 def trigram_similarity_topk(t):
-    b = t("benchmark")
-    return Q.trigram_best(b, b, "item_id", "text", "item_id", "text").filter("l <> r").select("l", "r", F.round("score", 6).alias("score"))
+    """Each benchmark passage with the five most like lines of the documents, at 0.4 or more."""
+    lines = t("passages").select("text").distinct()
+    pairs = Q.trigram_best(t("benchmark"), lines, "item_id", "text", "text", "text", 0.4)
+    best = Window.partitionBy("l").orderBy(F.desc("score"), "r")
+    return pairs.withColumn("rank", F.row_number().over(best)).filter("rank <= 5").select(F.col("l").alias("item_id"), F.col("r").alias("text"), F.round("score", 6).alias("score"), "rank")
 
 
-@query("dice_margin_match", f"""WITH a AS (SELECT item_id, substring(text, 1, 60) AS q, text FROM benchmark), s AS (SELECT x.item_id AS l, y.item_id AS r, 2 * len(list_intersect({_grams_sql('x.q', 3)}, {_grams_sql('substring(y.text, 1, 80)', 3)})) / (len({_grams_sql('x.q', 3)}) + len({_grams_sql('substring(y.text, 1, 80)', 3)})) AS score FROM a x, a y),
-n AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS n, lead(score) OVER (PARTITION BY l ORDER BY score DESC, r) AS second FROM s) SELECT l, r, round(score, 6) AS score FROM n WHERE n = 1 AND score >= 0.5 AND score - coalesce(second, 0) >= 0.1""")
+@query("dice_margin_match")
 def dice_margin_match(t):
-    g = lambda c: F.explode(S.grams(c, 3))
-    left = t("benchmark").select(F.col("item_id").alias("l"), F.size(S.grams(F.substring("text", 1, 60), 3)).alias("n"), g(F.substring("text", 1, 60)).alias("g"))
-    right = t("benchmark").select(F.col("item_id").alias("r"), F.size(S.grams(F.substring("text", 1, 80), 3)).alias("m"), g(F.substring("text", 1, 80)).alias("g"))
-    pairs = left.join(right, "g").groupBy("l", "r").agg((2 * F.count("*") / (F.max("n") + F.max("m"))).alias("score"))
-    return A.strict_best(pairs, "l").select("l", "r", F.round("score", 6).alias("score"))
+    """Each benchmark passage's line: whole texts, alike and covered enough, and clearly ahead of the next line."""
+    pairs = Q.dice_pairs(t("benchmark").select(F.col("item_id").alias("l"), "text"), t("passages").select("text").distinct().select(F.col("text").alias("r"), "text"))
+    return A.strict_best(pairs, "l", 0.65, 0.1).filter("covered >= 0.85").select(F.col("l").alias("item_id"), F.col("r").alias("text"), F.round("score", 6).alias("score"))
 
 
 @query("vector_cosine_knn", """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS score FROM embeddings, q)
@@ -202,10 +205,10 @@ def inverted_postings(t):
     return per.groupBy("token").agg(F.count("*").alias("docs"), F.sum("count").alias("n")).filter("docs >= 3")
 
 
-@query("contained_passages", f"""WITH {PASSAGES}, n AS (SELECT item_id, array_to_string(string_split({fold_sql('text')}, ' ')[1:6], ' ') AS needle FROM benchmark), d AS (SELECT doc_id, {fold_sql('text')} AS folded FROM documents)
+@query("contained_passages", f"""WITH {PASSAGES}, n AS (SELECT item_id, {fold_sql('text')} AS needle FROM benchmark), d AS (SELECT doc_id, {fold_sql('text')} AS folded FROM documents)
 SELECT DISTINCT item_id, doc_id FROM n JOIN d ON contains(' ' || folded || ' ', ' ' || needle || ' ')""")
 def contained_passages(t):
-    needles = t("benchmark").select("item_id", F.array_join(F.slice(F.split(T.fold(F.col("text")), " "), 1, 6), " ").alias("needle"))
+    needles = T.computed(t("benchmark"), needle=T.fold(F.col("text"))).select("item_id", "needle").filter("needle <> ''")
     return Q.contained_in(needles, t("documents").select("doc_id", T.fold(F.col("text")).alias("folded")), "item_id", "needle", "doc_id", "folded").distinct()
 
 
@@ -236,10 +239,10 @@ def or_join_rewritten(t):
     return R.by_passage_or_range(points, texts, "doc_id", "passage", "sort_order").select("passage", "text_id")
 
 
-@query("smallest_ancestor", f'''WITH {SECTIONS}, r AS (SELECT s.id, a.id AS ancestor, row_number() OVER (PARTITION BY s.id ORDER BY a."end" - a."start", len(a.path) DESC, a.id) AS n FROM sections s JOIN sections a ON a.doc_id = s.doc_id AND a."start" <= s."start" AND a."end" >= s."end" AND a.id % 3 = 0)
+@query("smallest_ancestor", f'''WITH {SECTIONS}, r AS (SELECT s.id, a.id AS ancestor, row_number() OVER (PARTITION BY s.id ORDER BY a."end" - a."start", len(a.path) DESC, a.id) AS n FROM sections s JOIN sections a ON a.doc_id = s.doc_id AND a."start" <= s."start" AND a."end" >= s."end" AND a."end" - a."start" >= 3)
 SELECT s.id, r.ancestor FROM sections s LEFT JOIN (SELECT * FROM r WHERE n = 1) r USING (id)''')
 def smallest_ancestor(t):
-    return R.smallest_ancestor(t("sections"), "doc_id", F.col("id") % 3 == 0)
+    return R.smallest_ancestor(t("sections"), "doc_id", F.col("end") - F.col("start") >= 3)
 
 
 @query("clip_overreach", f'''WITH {SECTIONS}, c AS (SELECT s.id, min(o."start") AS cut FROM sections s JOIN sections o ON o.doc_id = s.doc_id AND o."start" > s."start" AND o."start" <= s."end" AND NOT (len(s.path) <= len(o.path) AND o.path[1:len(s.path)] = s.path) GROUP BY s.id)
@@ -261,10 +264,10 @@ def close_ranges_lead(t):
     return R.close_ranges(t("sections").filter("title <> 'whole'").select("doc_id", "id", "start"), "doc_id", "start", last).select("id", "start", "end")
 
 
-@query("gaps_islands", f'''WITH {PASSAGES}, v AS (SELECT doc_id, sort_order, length(text) % 2 AS v FROM passages WHERE length(text) % 5 <> 0), n AS (SELECT *, CAST(v IS DISTINCT FROM lag(v) OVER w OR sort_order <> lag(sort_order) OVER w + 1 OR lag(sort_order) OVER w IS NULL AS INTEGER) AS new FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY sort_order)),
+@query("gaps_islands", f'''WITH {PASSAGES}, v AS (SELECT doc_id, sort_order, length(text) % 2 AS v FROM passages WHERE contains(text, ',')), n AS (SELECT *, CAST(v IS DISTINCT FROM lag(v) OVER w OR sort_order <> lag(sort_order) OVER w + 1 OR lag(sort_order) OVER w IS NULL AS INTEGER) AS new FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY sort_order)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY sort_order) AS run FROM n) SELECT doc_id, min(sort_order) AS "start", max(sort_order) AS "end", count(*) AS n FROM r GROUP BY doc_id, run''')
 def gaps_islands(t):
-    rows = t("passages").select("doc_id", F.col("sort_order").cast("long").alias("sort_order"), (F.length("text") % 2).alias("v")).filter(F.length("text") % 5 != 0)
+    rows = t("passages").select("doc_id", F.col("sort_order").cast("long").alias("sort_order"), (F.length("text") % 2).alias("v"), F.contains("text", F.lit(",")).alias("c")).filter("c")
     return R.islands(rows, "doc_id", "sort_order", "v").select("doc_id", "start", "end", "n")
 
 
@@ -332,11 +335,11 @@ def unicode_histogram(t):
     return U.character_histogram(t("documents"), F.col("text"))
 
 
-@query("level_profile", f'''WITH {SECTIONS}, r AS (SELECT len(path) AS level, "end" - "start" + 1 AS span, coalesce(lag("end") OVER (PARTITION BY len(path) ORDER BY doc_id * 100000 + "start") >= 0, false) AS o FROM sections)
-SELECT CAST(level AS BIGINT) AS level, count(*) AS n, CAST(median(span) AS DOUBLE) AS median_span, max(span) AS max_span FROM r GROUP BY level''')
+@query("level_profile", f'''WITH {SECTIONS}, r AS (SELECT doc_id, len(path) AS level, "end" - "start" + 1 AS span, coalesce(lag("end") OVER (PARTITION BY doc_id, len(path) ORDER BY "start", "end") >= "start", false) AS o FROM sections)
+SELECT doc_id, CAST(level AS BIGINT) AS level, count(*) AS n, CAST(median(span) AS DOUBLE) AS median_span, max(span) AS max_span, count(*) FILTER (o) AS overlaps FROM r GROUP BY doc_id, level''')
 def level_profile(t):
-    rows = t("sections").withColumn("level", F.size("path").cast("long"))
-    return rows.withColumn("span", F.col("end") - F.col("start") + 1).groupBy("level").agg(F.count("*").alias("n"), F.percentile("span", F.lit(0.5)).alias("median_span"), F.max("span").alias("max_span"))
+    rows = t("sections").withColumn("group", F.struct("doc_id", F.size("path").cast("long").alias("level")))
+    return U.level_profile(rows, "group", "start", "end").select("group.*", "n", "median_span", "max_span", "overlaps")
 
 
 @query("align_monotone")

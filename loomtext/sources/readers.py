@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +85,40 @@ def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"path": name, "page": range(len(texts)), "text": texts})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, page int, text string")
+
+
+def database_url(url: str, kept: Iterable[str] = ("sslmode", "connect_timeout", "application_name", "options")) -> str:
+    """A database address with those of its parameters that drivers know."""
+    head, _, rest = url.partition("?")
+    pairs = [p for p in rest.split("&") if p.split("=", 1)[0] in set(kept)]
+    return head + ("?" + "&".join(pairs) if pairs else "")
+
+
+def options(spark: SparkSession, defaults: dict[str, str], prefix: str = "loomtext.") -> dict[str, str]:
+    """Settings by name: the session's own, or else the defaults."""
+    return {k: spark.conf.get(f"{prefix}{k}", v) for k, v in defaults.items()}
+
+
+def large_enough(files: DataFrame, least: int = 10_000) -> DataFrame:
+    """Landed files that are no broken download."""
+    return files.filter(F.col("length") > least)
+
+
+def in_book_order(rows: DataFrame, uid: str, groups: Iterable[str] = ()) -> DataFrame:
+    """rows with `book_order`: the place of the uid's letters among the groups, then its numbers."""
+    letters = F.regexp_extract(uid, r"^([a-z-]*)", 1)
+    place = F.array_position(F.array(*map(F.lit, groups)), letters) if groups else F.lit(0)
+    numbers = F.transform(F.regexp_extract_all(uid, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("long"))
+    return rows.withColumn("book_order", F.struct(F.when(place > 0, place).otherwise(1 << 20).alias("group"), letters.alias("letters"), numbers.alias("numbers")))
+
+
+def merged_text(triplets_: DataFrame, text: str = "text", comment: str = "comment") -> DataFrame:
+    """triplets with `merged`: each segment's text with its comment behind it, tags and single spaces aside."""
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]+>", ""), r"\s+", " "))
+    return triplets_.withColumn("merged", F.array_join(F.filter(F.array(bare(F.col(text)), bare(F.col(comment))), lambda x: x != ""), "\n"))
+
+
+def profiles_differ(golden: DataFrame, now: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, column, golden, now): where a profile differs from the stored one."""
+    long = lambda df, name: df.select(key, F.explode(F.create_map(*(x for c in columns for x in (F.lit(c), F.col(c).cast("string"))))).alias("column", name))
+    return long(golden, "golden").join(long(now, "now"), [key, "column"], "full").filter(~F.col("golden").eqNullSafe(F.col("now")))

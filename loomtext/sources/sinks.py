@@ -46,3 +46,14 @@ def split_body(df: DataFrame, key: str, body: str, existing: DataFrame) -> DataF
     """Items (key, item_no, text) of bodies split at blank lines, for parents that have none yet."""
     items = df.join(existing, key, "left_anti").select(key, F.posexplode(F.split(body, r"\n\s*\n")).alias("p", "text"))
     return items.select(key, (F.col("p") + 1).alias("item_no"), F.trim("text").alias("text")).filter("text <> ''")
+
+
+def rekeyed(rows: DataFrame, passages: DataFrame, key: str = "passage_id") -> DataFrame:
+    """rows under (file_name, sort_order), which outlives the databases' own keys, in place of the passage's id."""
+    return rows.join(passages.select(key, "file_name", "sort_order"), key).drop(key)
+
+
+def write_previews(df: DataFrame, key: str, text: str, path: str) -> None:
+    """Each text as a file of its own partition and a manifest with its size and digest beside them."""
+    df.select(key, text).write.partitionBy(key).text(f"{path}/texts")
+    previews(df, key, text).write.json(f"{path}/manifest")
