@@ -16,13 +16,12 @@ Defined cases: a null text, or one without a letter, is `und` with score 0 (lett
 none); so is every text if nothing could be learned; rows with a null lang or text teach nothing; ties go to the first
 language in alphabetical order; repeated rows count as often as they stand; an empty table gives no rows; rows with equal
 or null ids are predicted each on its own; a very long text is read whole; other columns, whatever their names, are
-passed through by `predict` and ignored by the query.
+passed through by `known_language` and ignored by the query.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,13 +33,21 @@ from pyspark.sql import functions as F
 
 from .common import doc_fold, most_frequent, staged, table
 
-#: Python's \\w has numerals beside letters; those that \\d leaves are taken out by their properties.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORDS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+WORDS = re.compile(r"[^\W\d_]+")  # letters, and numerals that are no digits; words_of parts these
 ORDERS = (4, 3, 2, 1)
 FLUSH, KEPT, BLOOM = 200_000, 200_000, 1 << 25
 
 
+def words_of(text: str) -> Counter:
+    """Runs of letters, lower-cased, with their counts."""
+    found = Counter(WORDS.findall(text.lower()))
+    for w in [w for w in found if not w.isalpha()]:
+        times = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += times
+    return found
+
+
 def grams(word: str, n: int) -> list[str]:
     w = f"<{word}>" if n > 1 else word
     return [w[i : i + n] for i in range(len(w) - n + 1)]
@@ -60,7 +67,7 @@ def _counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, lang in zip(part["text"], part["lang"]):
             own = words.setdefault(lang, Counter())
             size -= len(own)
-            own.update(WORDS.findall(text.lower()))
+            own.update(words_of(text))
             size += len(own)
             if size > FLUSH:
                 yield flush()
@@ -125,7 +132,7 @@ class Model:
 
     def score(self, text: str | None) -> tuple[np.ndarray | None, list[str], list[int]]:
         """Log posterior up to a constant, and the words with their counts that may be in the table."""
-        found = Counter(WORDS.findall(text.lower())) if text and self.langs else None
+        found = words_of(text) if text and self.langs else None
         if not found:
             return None, [], []
         at = np.array(self.at(list(found)))
@@ -182,9 +189,17 @@ def bloom_of(words: DataFrame) -> np.ndarray:
     h = F.xxhash64("gram")
     place = lambda x: F.pmod(x, F.lit(BLOOM))  # noqa: E731  BLOOM divides 2 ** 32, so that signs do not matter
     at = words.select(F.explode(F.array(place(h), place(F.shiftrightunsigned(h, 32)))).alias("at"))
+    bits = at.groupBy(F.floor(F.col("at") / 64).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
+    parts = bits.groupBy((F.col("k") % 64).alias("part")).agg(F.collect_list(F.struct("k", "bits")).alias("ks"))
+
+    def pack(some: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in some:
+            for ks in part["ks"]:
+                yield pd.DataFrame({"k": [np.array([x["k"] for x in ks], np.int64).tobytes()], "bits": [np.array([x["bits"] for x in ks], np.int64).tobytes()]})
+
     held = np.zeros(BLOOM // 64, np.uint64)
-    for r in at.groupBy(F.floor(F.col("at") / 64).alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits")).toLocalIterator():
-        held[r["k"]] = np.uint64(r["bits"] % (1 << 64))
+    for r in parts.mapInPandas(pack, "k binary, bits binary").collect():  # 64 rows
+        held[np.frombuffer(r["k"], np.int64)] = np.frombuffer(r["bits"], np.uint64)
     return held
 
 
@@ -229,8 +244,8 @@ def train(docs: DataFrame, cells: int = 800_000, max_grams: int = 65_536, least:
     return model, staged(rest.mapInPandas(more, "word string, more array<float>"), "rare")
 
 
-def predict(docs: DataFrame, model: Model, rare: DataFrame | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
-    """docs (of their columns those to keep) with the language and its score under the given names."""
+def predict(docs: DataFrame, model: Model, rare: DataFrame | None, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns of docs to keep, with lang_pred and score. Texts go no further than the first scores."""
     held, langs = docs.sparkSession.sparkContext.broadcast(model), model.langs
 
     @F.pandas_udf("rows array<double>, words array<string>, times array<long>")
@@ -238,19 +253,27 @@ def predict(docs: DataFrame, model: Model, rare: DataFrame | None, text: str = "
         found = list(zip(*map(held.value.score, texts))) or [(), (), ()]
         return pd.DataFrame({c: pd.Series([None if x is None else list(x) for x in own], dtype=object) for c, own in zip(("rows", "words", "times"), found)})
 
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    scored = docs.withColumn("__p", start(F.col(text))).select(*kept, "__p")
+    scored = docs.withColumn("__p", start(F.col(text))).select(*keep, "__p")
     rows = F.col("__p.rows")
     if rare is not None:
         scored = staged(scored.withColumn("__row", F.monotonically_increasing_id()), "started")
         pairs = scored.select("__row", F.explode(F.arrays_zip("__p.words", "__p.times")).alias("x")).select("__row", F.col("x.words").alias("word"), F.col("x.times").alias("t"))
         found = pairs.join(rare, "word").groupBy("__row").agg(F.array(*(F.sum(F.col("t") * F.get("more", F.lit(i))) for i in range(len(langs)))).alias("__more"))
-        scored = scored.join(found, "__row", "left")
-        rows = F.when(F.col("__more").isNull(), rows).otherwise(F.zip_with(rows, "__more", lambda a, b: a + b))
+        scored = scored.select(*keep, "__row", F.col("__p.rows").alias("__rows")).join(found, "__row", "left")
+        rows = F.when(F.col("__more").isNull(), F.col("__rows")).otherwise(F.zip_with("__rows", "__more", lambda a, b: a + b))
     scored = scored.withColumn("__rows", rows).withColumn("__best", F.array_max("__rows"))
     best = F.get(F.array(*map(F.lit, langs)), (F.array_position("__rows", F.col("__best")) - 1).cast("int")) if langs else F.lit(None)
     sure = 1 / F.aggregate("__rows", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__best")))
-    return scored.select(*kept, F.coalesce(best, F.lit("und")).alias(names[0]), F.coalesce(sure, F.lit(0.0)).alias(names[1]))
+    return scored.select(*keep, F.coalesce(best, F.lit("und")).alias("lang_pred"), F.coalesce(sure, F.lit(0.0)).alias("score"))
+
+
+def known_language(docs: DataFrame, model: Model, rare: DataFrame | None, least: float = 0.5) -> DataFrame:
+    """docs without the rows whose text has no known language or one whose posterior is under `least`. What is decided is by
+    text alone, so that only the hashes of the texts that go are joined to the rows."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = predict(docs.select("text", key.alias("__text")), model, rare, ["__text"])
+    gone = staged(found.filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select("__text").distinct(), "rejected")
+    return docs.withColumn("__text", key).join(gone, "__text", "left_anti").drop("__text")
 
 
 def split_fold(doc_id: Column) -> Column:
@@ -261,4 +284,4 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = split_fold(F.col("doc_id"))
     model, rare = train(docs.filter(~held_out))
-    return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, rare, keep=["doc_id", "held_out"])
+    return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, rare, ["doc_id", "held_out"])

@@ -57,8 +57,8 @@ def share(nodes: DataFrame, parents: list[str], budget: str) -> DataFrame:
     cost = lambda below, c, beyond, w: whole(below) * whole(w) + whole(c) * whole(beyond) <= whole(budget_) * whole(w)
     budget_, ratio = "_budget", F.col("c") / F.col("w")
     sums = (F.sum("c").alias("_c"), F.sum("w").alias("_w"), F.max(F.struct(ratio.alias("r"), "c", "w")).alias("_m"), F.first(budget).alias("_budget"))
-    rows = nodes.withColumns({"_top": F.lit(0), "_k": F.when(F.col("c") > 0, F.floor(F.log2(ratio) * 64)).otherwise(-(1 << 20))})
-    by = ["_top", *parents]
+    rows = nodes.withColumns({"_k": F.when(F.col("c") > 0, F.floor(F.log2(ratio) * 64)).otherwise(-(1 << 20))})
+    by = parents
     in_order = lambda key: Window.partitionBy(*by).orderBy(key)
     upto = lambda key: F.sum("_c").over(in_order(key).rowsBetween(Window.unboundedPreceding, 0))
     beyond = lambda key: F.coalesce(F.sum("_w").over(in_order(key).rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
@@ -72,7 +72,7 @@ def share(nodes: DataFrame, parents: list[str], budget: str) -> DataFrame:
     marked = staged(marked.join(level, by, "left").withColumn("_full", full), "levels")  # a row a node; its plan would grow from level to level
     spent = marked.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_full"), F.col("c"))), F.lit(0)).alias("_s"), F.sum(F.when(~F.col("_full"), F.col("w"))).alias("_rest"))
     rest = F.expr(f"(cast({budget} - _s as decimal(19,0)) * cast(w as decimal(19,0))) div _rest")
-    return marked.join(spent, by).withColumn("got", F.when(F.col("_full"), F.col("c")).otherwise(rest)).drop("_top", "_k", "_e", "_level", "_full", "_s", "_rest")
+    return marked.join(spent, by).withColumn("got", F.when(F.col("_full"), F.col("c")).otherwise(rest)).drop("_k", "_e", "_level", "_full", "_s", "_rest")
 
 
 def weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
@@ -85,11 +85,11 @@ def leaf_plan(slim: DataFrame, weights: dict, percent: int, max_epochs: int, see
     for level in TREE:
         leaves = leaves.withColumn(f"w_{level}", weight(level, weights)).filter(F.col(f"w_{level}") > 0)
     leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    leaves = staged(leaves, "leaves")
+    leaves = staged(leaves.withColumn("root", F.lit(0)), "leaves")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     plan = leaves.withColumn("budget", F.lit(total * int(percent) // 100).cast("long"))
     for depth, level in enumerate(TREE):
-        path = list(TREE[: depth + 1])
+        path = ["root", *TREE[: depth + 1]]
         nodes = plan.groupBy(*path).agg(F.first("budget").alias("budget"), F.first(f"w_{level}").alias("w"), F.sum("cap").alias("c"))
         nodes = staged(nodes, "nodes")
         plan = staged(plan.drop("budget").join(share(nodes, path[:-1], "budget").select(*path, F.col("got").alias("budget")), path), "budgets")

@@ -511,15 +511,21 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word
     """docs without near duplicates (as `similar` links them): of each group the row with the smallest doc_id stays, ties to
     the smaller hash of the text, and of equal rows one. A null doc_id comes last. Different texts with one doc_id that are
     not alike all stay."""
-    _, distinct, roots = linked(docs, shingle, similarity, words, tries, most)
-    groups = classes(distinct, roots)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("__none"), F.col("least").alias("__least"), F.col("id").alias("__keep"), F.col("times").alias("__times"))).alias("__first"))
-    by_id = staged(groups.select("id", "root").join(first, "root").select(F.col("id").alias("__id"), "__first"), "classes")
-    rows = salted(docs.withColumn("__id", with_ids(docs)), by_id, "__id", "doc_id", "left")
-    kept = rows.filter(F.col("__first").isNull() | ((F.col("__first.__keep") == F.col("__id")) & F.col("__first.__least").eqNullSafe(F.col("doc_id"))))
-    many = F.coalesce(F.col("__first.__times"), F.lit(1)) > 1
-    again = kept.filter(many).withColumn("__n", F.row_number().over(Window.partitionBy("__id", "doc_id").orderBy(F.lit(0)))).filter("__n = 1")
-    return kept.filter(~many).select(docs.columns).unionByName(again.select(docs.columns))
+    rows, distinct, roots = linked(docs, shingle, similarity, words, tries, most)
+    groups = staged(classes(distinct, roots).select("id", "root", "least", "times"), "classes")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "id", "times")).alias("first"))
+    by_id = groups.select("id", "root").join(first, "root").select("id", "first")
+    own = (F.col("first.id") == F.col("id")) & F.col("first.least").eqNullSafe(F.col("doc_id"))
+    named_ = staged(salted(rows, by_id, "id", "doc_id").groupBy("id", "doc_id").agg(F.bool_or(own).alias("own"), F.max("first.times").alias("times")).filter("not own or times > 1"), "others")
+    keyed = docs.withColumn("__id", with_ids(docs))
+    same = lambda other: (F.col("__id") == other["id"]) & F.col("doc_id").eqNullSafe(other["__doc"])
+    others = named_.withColumnRenamed("doc_id", "__doc")
+    kept = keyed.join(others, same(others), "left_anti").select(docs.columns)
+    many = others.filter("own").select("id", "__doc")
+    if many.isEmpty():
+        return kept
+    again = keyed.join(many, same(many), "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__id", "doc_id").orderBy(F.lit(0)))).filter("__n = 1")
+    return kept.unionByName(again.select(docs.columns))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

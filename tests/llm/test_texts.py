@@ -245,7 +245,7 @@ def test_language_scores_by_a_recount(spark):
     df = frame(spark, rows)
     model, rare = langid.train(df, cells=9, max_grams=1 << 20, least=1)
     assert rare.count() > 0 and len(model.known) <= 3
-    got = {r["doc_id"]: r for r in langid.predict(df, model, rare).collect()}
+    got = {r["doc_id"]: r for r in langid.predict(df, model, rare, ["doc_id"]).collect()}
     words = lambda t: [w for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()]
     langs = sorted({lang for _, t, lang, _ in rows if t is not None and lang is not None})
     per = {x: Counter(w for _, t, lang, _ in rows if lang == x for w in words(t)) for x in langs}
@@ -266,11 +266,12 @@ def test_language_scores_by_a_recount(spark):
 def test_language_needs_letters(spark):
     rows = [(i, t, "en", None) for i, t in enumerate(["²", "Ⅷ ½ ①", "٣٤", "_", "é", "字", "a²"])] + [(9, "some words", "en", None), (9, "some words", "en", None)]
     df = frame(spark, rows)
-    got = [(r["doc_id"], r["lang_pred"]) for r in langid.predict(df, *langid.train(df)).collect()]
+    got = [(r["doc_id"], r["lang_pred"]) for r in langid.predict(df, *langid.train(df), ["doc_id"]).collect()]
     assert sorted(got) == [(0, "und"), (1, "und"), (2, "und"), (3, "und"), (4, "en"), (5, "en"), (6, "en"), (9, "en"), (9, "en")]
-    assert langid.predict(df, *langid.train(df)).columns == [*df.columns, "lang_pred", "score"]
+    kept = langid.known_language(df, *langid.train(df))
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 6, 9, 9]
     none = df.limit(0)
-    assert langid.predict(none, *langid.train(none)).count() == 0 and {r["lang_pred"] for r in langid.predict(df, *langid.train(none)).collect()} == {"und"}
+    assert langid.predict(none, *langid.train(none), ["doc_id"]).count() == 0 and {r["lang_pred"] for r in langid.predict(df, *langid.train(none), ["doc_id"]).collect()} == {"und"}
 
 
 def test_most_frequent_is_bounded(spark):
