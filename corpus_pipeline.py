@@ -25,8 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model, rare = langid.train(docs.filter(~langid.split_fold(F.col("doc_id"))))
     if not model.langs:  # nothing to learn from: only texts without a letter can be told apart
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = langid.predict(docs, model, rare, names=("__lang", "__score")).filter((F.col("__lang") != "und") & (F.col("__score") >= 0.5))
-    return found.select(docs.columns)
+    return langid.known_language(docs, model, rare)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
