@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, search_queries, table_queries, text_queries  # noqa: F401  the modules register their queries
+from . import base, reading_queries, search_queries, table_queries, text_queries  # noqa: F401  the modules register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
