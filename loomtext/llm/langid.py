@@ -35,7 +35,7 @@ from .common import doc_fold, most_frequent, staged, table
 
 WORDS = re.compile(r"[^\W\d_]+")  # letters, and numerals that are no digits; words_of parts these
 ORDERS = (4, 3, 2, 1)
-FLUSH, KEPT, BLOOM = 200_000, 200_000, 1 << 25
+FLUSH, KEPT, BLOOM = 150_000, 100_000, 1 << 25
 
 
 def words_of(text: str) -> Counter:
@@ -203,7 +203,7 @@ def bloom_of(words: DataFrame) -> np.ndarray:
     return held
 
 
-def train(docs: DataFrame, cells: int = 800_000, max_grams: int = 65_536, least: int = 5) -> tuple[Model, DataFrame | None]:
+def train(docs: DataFrame, cells: int = 400_000, max_grams: int = 30_000, least: int = 5) -> tuple[Model, DataFrame | None]:
     """Model of rows (text, lang), and the table (word, more: what knowing it adds) of the known words it does not hold.
     cells: numbers in the words' broadcast part, words times languages; max_grams: grams of each order; least: occurrences
     from which a word is known."""
