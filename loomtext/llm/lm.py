@@ -195,11 +195,16 @@ def _score(scorer):
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, frequent: int = 1024, groups: int = 512, held: int = 200_000, rate: float = 0.5) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row (doc_id, text)."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    training = rows.filter(~F.col("held_out")).select("text")
+class Fitted:
+    """What was learned: the model, the held vocabulary, all words' counts and the classes' sizes."""
+
+    def __init__(self, model: LogBilinear, vocabulary: Vocabulary, counts: DataFrame, total: int, distinct: int, size: np.ndarray):
+        """size: of each class, its words' counts and one for each word and for the unknown one; 1 for frequent words."""
+        self.model, self.vocabulary, self.counts, self.total, self.distinct, self.size = model, vocabulary, counts, total, distinct, size
+
+
+def fit(training: DataFrame, frequent: int = 1024, groups: int = 512, held: int = 200_000, rate: float = 0.5) -> Fitted:
+    """Learns from all rows (text)."""
     # the bytes of a word are UTF-8, as its text's were
     counts = staged(training.mapInPandas(_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -214,13 +219,22 @@ def score_texts(docs: DataFrame, held_out: Column, frequent: int = 1024, groups:
         size[v.group(bytes(r["word"]))] -= r["c"] + 1
     share = np.concatenate([[r["c"] for r in top[: v.frequent]], size[v.frequent :]])
     noise = share / share.sum()
-    words = spark.sparkContext.broadcast(v)
+    words = training.sparkSession.sparkContext.broadcast(v)
     model = LogBilinear(noise)
     learned = training.mapInPandas(_train(words, noise, rate), "row int, n long, " + ", ".join(f"p{i} double" for i in range(DIM)))
     mean = learned.groupBy("row").agg(*(F.sum(f"p{i}") / F.sum("n") for i in range(DIM))).collect()  # as many rows as the model has
     if mean:
         model.load(np.array([r[1:] for r in sorted(mean)]))
-    scorer = spark.sparkContext.broadcast(Scorer(v, model.tables(), total, distinct, size))
+    return Fitted(model, v, counts, int(total), int(distinct), size)
+
+
+def score_texts(docs: DataFrame, held_out: Column, frequent: int = 1024, groups: int = 512, held: int = 200_000, rate: float = 0.5, fitted: Fitted | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row (doc_id, text)."""
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    fitted = fitted or fit(rows.filter(~F.col("held_out")).select("text"), frequent, groups, held, rate)
+    v, counts, total = fitted.vocabulary, fitted.counts, fitted.total
+    scorer = spark.sparkContext.broadcast(Scorer(v, fitted.model.tables(), total, fitted.distinct, fitted.size))
     schema = "row long, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<long>, doc_id long, held_out boolean"
     part = staged(rows.mapInPandas(_score(scorer), schema), "scores")
     pairs = part.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("t"))

@@ -202,6 +202,34 @@ def test_language_model_counts_and_normalisation(spark):
     assert np.allclose(np.power(10.0, start[0][0] + start[1][0] - start[2][0, 0]), share, atol=1e-5)
 
 
+def test_language_model_scores_by_hand(spark):
+    """The score is the sum of log10 P(class | two classes before) + log10 P(word | class), over all words and the end."""
+    rows = [r for r in corpus(60, 4) if r[0] is not None][:-1] + [(500, None, None, None), (501, "unseen wordsxyz here", "en", None), (501, "unseen wordsxyz here", "en", None), (None, "no id", None, None)]
+    df = frame(spark, rows)
+    fitted = lm.fit(df.filter("doc_id < 40").select("text"), frequent=8, groups=3, held=12)
+    got = [(r["doc_id"], r["score"]) for r in lm.score_texts(df, F.col("doc_id") >= 40, fitted=fitted).collect()]
+    c = Counter({bytes(r["word"]).decode(): r["c"] for r in fitted.counts.collect()})
+    frequent = [w.decode() for w in sorted(fitted.vocabulary.index, key=fitted.vocabulary.index.get)[:8]]
+    group = lambda w: 8 + zlib.crc32(w.encode()[-3:]) % 3
+    of = lambda w: frequent.index(w) if w in frequent else group(w)
+    size = Counter()
+    for w, n in c.items():
+        if w not in frequent:
+            size[group(w)] += n + 1
+    m, want = fitted.model, []
+    for i, t, _, _ in rows:
+        before, total = [11, 11], 0.0
+        for w in [*fold_words(t), "\n"]:
+            logits = [(m.c1[before[1]] + m.c2[before[0]]) @ m.r[k] + m.bias[k] for k in range(11)]
+            k = of(w)
+            total += (logits[k] - math.log(sum(math.exp(x) for x in logits))) / math.log(10) + (math.log10((c[w] + 1) / (size[k] + 1)) if k >= 8 else 0)
+            before = [before[1], k]
+        want.append((i, total))
+    key = lambda x: (x[0] is None, x[0], x[1])
+    assert [i for i, _ in sorted(got, key=key)] == [i for i, _ in sorted(want, key=key)]
+    assert [s for _, s in sorted(got, key=key)] == pytest.approx([s for _, s in sorted(want, key=key)], rel=1e-4)
+
+
 def test_language_model_learns_word_order(spark):
     rng = random.Random(0)
     rows = [(i, " ".join(w for _ in range(60) for w in rng.choice([("a", "b", "c"), ("d", "e", "f")])), "en", None) for i in range(200)]
