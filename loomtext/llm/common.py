@@ -30,12 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+ROWS_TO_PYTHON = 2000
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read back: later steps start from the files, whichever
-    executors are lost, and Spark knows their size."""
-    path = f"{shared_dir(df.sparkSession)}/loomtext-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executors are lost, and Spark knows their size. While it is written, Python workers get rows in small batches, since
+    texts are long."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path = f"{shared_dir(spark)}/loomtext-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), ROWS_TO_PYTHON) if int(before) > 0 else ROWS_TO_PYTHON))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -491,13 +491,14 @@ def linked(docs: DataFrame, shingle: int, similarity: float, words: int, tries:
     clusters = clusters.unionByName(found.select(F.col("root").alias("id"), F.col("root").alias("cluster")).distinct())
     members = staged(clusters.join(distinct.select("id", "least", "n", "class"), "id"), "members")
     # of a text's copies one with the least doc_id is read
-    one = members.select(F.col("id").alias("__id"), F.col("least").alias("__least"))
+    # members grow with the texts: never broadcast, so that plans are alike at every size
+    one = members.select(F.col("id").alias("__id"), F.col("least").alias("__least")).hint("merge")
     read = texts.join(one, (F.col("id") == F.col("__id")) & F.col("doc_id").eqNullSafe(F.col("__least"))).select("id", "text").dropDuplicates(["id"])
     tasks = tasks_of(members.select("id", "cluster", "n", "class"), most).join(read, "id").select("id", "cluster", "task", "text")
     return rows.select("doc_id", "id"), distinct, components(tasks.groupBy("task").applyInPandas(_exact(shingle, similarity), "u long, v long"))
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, tries: int = 10, most: int = 4_000_000) -> DataFrame:
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, tries: int = 10, most: int = 2_000_000) -> DataFrame:
     """(doc_id, component_id) of each row: texts linked whose sets of shingles have at least this Jaccard similarity.
 
     Candidates are the links of `tries` tries of 24 bits, in which three bits may differ (four below 64 shingles, whose
@@ -507,7 +508,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: i
     return named(rows, distinct, roots).select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, tries: int = 10, most: int = 4_000_000) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, tries: int = 10, most: int = 2_000_000) -> DataFrame:
     """docs without near duplicates (as `similar` links them): of each group the row with the smallest doc_id stays, ties to
     the smaller hash of the text, and of equal rows one. A null doc_id comes last. Different texts with one doc_id that are
     not alike all stay."""
@@ -520,7 +521,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, word
     keyed = docs.withColumn("__id", with_ids(docs))
     same = lambda other: (F.col("__id") == other["id"]) & F.col("doc_id").eqNullSafe(other["__doc"])
     others = named_.withColumnRenamed("doc_id", "__doc")
-    kept = keyed.join(others, same(others), "left_anti").select(docs.columns)
+    kept = keyed.join(others.hint("merge"), same(others), "left_anti").select(docs.columns)
     many = others.filter("own").select("id", "__doc")
     if many.isEmpty():
         return kept
