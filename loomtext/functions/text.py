@@ -59,7 +59,7 @@ def composed(c: Column) -> Column:
     """NFC in the JVM of Latin, Greek, Cyrillic, Indic and Japanese letters: those followed by marks, in canonical order, are
     looked up and their text is joined again; texts without marks pass."""
     known = F.from_json(F.lit(json.dumps(CLUSTERS)), "map<string,string>")
-    each = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)(\P{M}\p{M}+|\P{M}+(?!\p{M})|\p{M}+)"), F.lit(1)), lambda x: F.coalesce(F.try_element_at(known, x), F.concat(F.try_element_at(known, F.substring(x, 1, 2)), F.substring(x, 3, 1 << 20)), x))
+    each = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)(\P{M}\p{M}+|\P{M}+(?!\p{M})|\p{M}+)"), F.lit(1)), lambda x: F.coalesce(F.try_element_at(known, x), *(F.concat(F.try_element_at(known, F.substring(x, 1, n)), F.substring(x, n + 1, 1 << 20)) for n in (3, 2)), x))
     return F.when(c.rlike(r"\p{M}"), F.array_join(each, "")).otherwise(c)
 
 

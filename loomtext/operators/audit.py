@@ -35,11 +35,11 @@ def group_outliers(rows: DataFrame, group: str, value: str, low: float = 0.75, h
 def method_summary(rows: DataFrame, method: str, fullness: str, control: str, weak_below: float = 0.6) -> DataFrame:
     """(method, n, median, p25, weak): of each method's fullness; weak: how many fall below a share of the control method's
     median, 0 without one. p25 is the value at a quarter of the sorted ones."""
-    middle = rows.filter(F.col(method) == control).agg(F.percentile(fullness, F.lit(0.5)).alias("m"))
+    middle = rows.filter(F.col(method) == control).agg(F.percentile(fullness, F.lit(0.5)).alias("__m"))
     with_m = rows.join(middle)  # one row
     return with_m.groupBy(method).agg(
         F.count("*").alias("n"), F.percentile(fullness, F.lit(0.5)).alias("median"), F.element_at(F.array_sort(F.collect_list(fullness)), (F.floor(F.count("*") / 4) + 1).cast("int")).alias("p25"),
-        F.count_if(F.col(fullness) < F.col("m") * weak_below).alias("weak"))
+        F.count_if(F.col(fullness) < F.col("__m") * weak_below).alias("weak"))
 
 
 def baseline_by_group(rows: DataFrame, group: str, hits: Column, total: Column) -> DataFrame:

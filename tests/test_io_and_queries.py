@@ -2,7 +2,6 @@ import hashlib
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__
 from loomtext.plans import catalog
@@ -64,7 +63,7 @@ def test_every_query_has_a_callable_and_sql_names_a_query():
     assert set(sql) <= set(known) and len(known) > 70
 
 
-@pytest.mark.parametrize("name", ["flagship_search", "interval_point_join", "precedence_upsert", "log_counts", "trigram_similarity_topk"])
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -72,7 +71,8 @@ def test_queries_match_their_sql(spark, name):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = catalog.queries()[name](spark, SF).toPandas()
     want = con.execute(catalog.oracle_sql()[name]).df()[list(got.columns)]
-    canon = lambda df: sorted(tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in df.values.tolist())
+    plain = lambda x: f"{x:.6f}".rstrip("0").rstrip(".") if isinstance(x, float) else str(x)
+    canon = lambda df: sorted(tuple(map(plain, r)) for r in df.astype(object).where(df.notna(), None).values.tolist())
     assert canon(got) == canon(want)
 
 
@@ -82,8 +82,28 @@ def test_filters_reach_the_scan(spark):
     assert "text" not in plan.split("ReadSchema")[1][:60]
 
 
-def test_fixed_values():
-    from loomtext.operators.ranking import BRANCHES, CORPUS_RANK
+def test_settings_and_orders(spark):
+    assert readers.database_url("postgresql://h/db?sslmode=require&schema=x&options=a%3Db") == "postgresql://h/db?sslmode=require&options=a%3Db"
+    assert readers.database_url("postgresql://h/db?schema=x") == "postgresql://h/db"
+    spark.conf.set("loomtext.size", "7")
+    assert readers.options(spark, {"size": "3", "other": "x"}) == {"size": "7", "other": "x"}
+    rows = readers.in_book_order(spark.createDataFrame([("mn10",), ("dn2",), ("dn10",), ("an1.10",), ("an1.2",)], "uid string"), "uid", ["dn", "mn"])
+    assert [r["uid"] for r in rows.orderBy("book_order").collect()] == ["dn2", "dn10", "mn10", "an1.2", "an1.10"]
 
-    assert BRANCHES["translation"] == 0.88 and CORPUS_RANK["mul"] == 3
-    assert F is not None
+
+def test_settings_file_html_and_large_files(spark, tmp_path):
+    (tmp_path / "notice.json").write_text('{"version": 3}')
+    assert tuple(readers.settings_row(spark, str(tmp_path / "notice.json"), {"version": "1", "text": "none"}).first()) == ("3", "none")
+    (tmp_path / "a.html").write_text("<p>x</p>\n<p>y</p>")
+    assert readers.web_pages(spark, str(tmp_path / "a.html")).first()["html"] == "<p>x</p>\n<p>y</p>"
+    files = spark.createDataFrame([("a", 9), ("b", 20_000)], "path string, length long")
+    assert [r["path"] for r in readers.large_enough(files).collect()] == ["b"]
+    (tmp_path / "w.txt").write_text("One\n two \n\none\n")
+    assert sorted(r["word"] for r in readers.vocabulary(spark, str(tmp_path / "w.txt")).collect()) == ["one", "two"]
+
+
+def test_previews_are_written_with_a_manifest(spark, tmp_path):
+    sinks.write_previews(spark.createDataFrame([(1, "abc")], "id int, text string"), "id", "text", str(tmp_path))
+    m = spark.read.json(str(tmp_path / "manifest")).first()
+    assert (m["chars"], m["text_sha256"]) == (3, hashlib.sha256(b"abc").hexdigest())
+    assert spark.read.text(str(tmp_path / "texts")).first()["value"] == "abc"

@@ -66,3 +66,19 @@ def test_similarity(spark):
     assert one(spark, S.path_is_prefix(F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b")))) is True
     assert one(spark, S.path_is_prefix(F.array().cast("array<string>"), F.array(F.lit("a")))) is False
     assert one(spark, S.edit_ratio(F.lit("abcd"), F.lit("abce"))) == 0.75
+
+
+def test_composition_without_python(spark):
+    import unicodedata
+
+    texts = ["saṅkhārā", "tiếng Việt ộ ự", "é́ x", "plain", "й ё", "ぱ", "q́z", "line\nsāti", "", "ệ\u0301"]
+    texts += [unicodedata.normalize("NFD", x) for x in texts] + ["o\u0302\u0323", "ô\u0323"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert [r[0] for r in df.select(T.composed(F.col("x"))).collect()] == [unicodedata.normalize("NFC", x) for x in texts]
+    assert one(spark, T.fold(F.col("x")), x=unicodedata.normalize("NFD", "Saṅkhārā, Ñāṇa")) == "sankhara nana"
+
+
+def test_a_computed_column_is_computed_once(spark):
+    rows = T.computed(spark.createDataFrame([("A b",), (None,)], "x string"), y=T.fold(F.col("x")))
+    plan = rows.filter(F.contains("y", F.lit("a"))).select(F.length("y"), F.upper("y"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("translate(") == 1 and [r["y"] for r in rows.collect()] == ["a b", None]
