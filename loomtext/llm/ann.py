@@ -133,7 +133,7 @@ def _rank(k: int) -> Callable:
     return rank
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.5, sample: int = 20_000, most: int = 160, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, visit: float = 0.6, sample: int = 20_000, most: int = 160, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows (vec_id, embedding) that is_query selects, against all rows."""
     spark = vectors.sparkSession
     rows = staged(sound(vectors).filter(F.exists("v", lambda x: x != 0)), "vectors")
