@@ -35,12 +35,11 @@ from .common import doc_fold, most_frequent, staged, table
 
 WORDS = re.compile(r"[^\W\d_]+")  # letters, and numerals that are no digits; words_of parts these
 ORDERS = (4, 3, 2, 1)
-FLUSH, KEPT, BLOOM = 150_000, 100_000, 1 << 25
+FLUSH, KEPT, BLOOM = 150_000, 200_000, 1 << 25
 
 
-def words_of(text: str) -> Counter:
-    """Runs of letters, lower-cased, with their counts."""
-    found = Counter(WORDS.findall(text.lower()))
+def letters(found: Counter) -> Counter:
+    """Counts of what WORDS found, words with numerals parted into runs of letters."""
     for w in [w for w in found if not w.isalpha()]:
         times = found.pop(w)
         for part in "".join(c if c.isalpha() else " " for c in w).split():
@@ -48,6 +47,11 @@ def words_of(text: str) -> Counter:
     return found
 
 
+def words_of(text: str) -> Counter:
+    """Runs of letters, lower-cased, with their counts."""
+    return letters(Counter(WORDS.findall(text.lower())))
+
+
 def grams(word: str, n: int) -> list[str]:
     w = f"<{word}>" if n > 1 else word
     return [w[i : i + n] for i in range(len(w) - n + 1)]
@@ -58,6 +62,8 @@ def _counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words: dict[str, Counter] = {}
 
     def flush() -> pd.DataFrame:
+        for own in words.values():
+            letters(own)
         out = pd.DataFrame({"gram": [w for own in words.values() for w in own], "lang": [x for x, own in words.items() for _ in own], "n": np.array([c for own in words.values() for c in own.values()], np.int64)})
         words.clear()
         return out
@@ -67,7 +73,7 @@ def _counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, lang in zip(part["text"], part["lang"]):
             own = words.setdefault(lang, Counter())
             size -= len(own)
-            own.update(words_of(text))
+            own.update(WORDS.findall(text.lower()))
             size += len(own)
             if size > FLUSH:
                 yield flush()
@@ -108,7 +114,7 @@ class Model:
             get = self.grams[n].get
             at = [i for i in map(get, grams(w, n)) if i is not None]
             if at:
-                return self.gram_rows[n][at].sum(axis=0) / len(at)
+                return self.gram_rows[n].take(at, 0).sum(0) / len(at)
         return np.zeros(len(self.langs), np.float32)
 
     def at(self, words: list[str]) -> list[int]:
@@ -141,12 +147,18 @@ class Model:
         if self.bloom is None:
             return rows, [], []
         words = list(found)
-        rest = [w for w in map(words.__getitem__, np.nonzero(at >= len(self.words))[0]) if self.maybe(w)]
+        rest = self.listed([words[i] for i in np.nonzero(at >= len(self.words))[0]])
         return rows, rest, [found[w] for w in rest]
 
-    def maybe(self, word: str) -> bool:
-        h = xxhash.xxh64_intdigest(word.encode(errors="surrogatepass"), 42)
-        return all(self.bloom[p >> 6] >> np.uint64(p & 63) & np.uint64(1) for p in (h % BLOOM, (h >> 32) % BLOOM))
+    def listed(self, words: list[str]) -> list[str]:
+        """Those that the filter of the table's words lets pass."""
+        if not words:
+            return []
+        digest = xxhash.xxh64_intdigest
+        h = np.fromiter((digest(w.encode(errors="surrogatepass"), 42) for w in words), np.uint64, len(words))
+        low, high = h % np.uint64(BLOOM), (h >> np.uint64(32)) % np.uint64(BLOOM)
+        bit = lambda p: self.bloom[p >> np.uint64(6)] >> (p & np.uint64(63))
+        return [words[i] for i in np.nonzero(bit(low) & bit(high) & np.uint64(1))[0]]
 
 
 def shares(count: np.ndarray, size: np.ndarray, distinct: int) -> np.ndarray:
