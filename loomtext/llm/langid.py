@@ -75,13 +75,13 @@ def _counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             size -= len(own)
             own.update(WORDS.findall(text.lower()))
             size += len(own)
-            if size > FLUSH:
-                yield flush()
+            if size > FLUSH and len(out := flush()):
+                yield out
                 size = 0
-        if sum(map(len, words.values())) > FLUSH // 2:
-            yield flush()
-    if any(words.values()):
-        yield flush()
+        if sum(map(len, words.values())) > FLUSH // 2 and len(out := flush()):
+            yield out
+    if len(out := flush()):
+        yield out
 
 
 def _grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
