@@ -11,7 +11,7 @@ a leaf. Documents are chosen by comparing their key to the cut-off.
 
 Defined cases: a null domain, lang or source is the empty name; a null text costs one token; a document costs its words
 plus one; rows that agree in id and text have one key and are taken together; an empty table or a zero budget gives
-no rows; very long texts are counted whole; other columns stay unless they have an output's name (domain, tokens, epoch), which then is the output.
+no rows; a very long text is counted whole; other columns stay unless they have an output's name (domain, tokens, epoch), which then is the output.
 Weights are whole numbers up to 10,000; a name without a weight has 1, a weight of 0 or less excludes.
 """
 
