@@ -137,3 +137,22 @@ def direct_translation(candidates: DataFrame, words: int) -> bool:
 def result_page(listed: DataFrame, number: int, size: int, internal: Sequence[str] = ("keyword", "concept", "base", "quote_weight", "semantic_weight", "semantic", "term_hits", "strength", "branch", "text_hash")) -> DataFrame:
     """One page by position, without the columns that ranking needed."""
     return listed.filter(F.col("position").between((number - 1) * size + 1, number * size)).drop(*internal)
+
+
+def search_passages(passages: DataFrame, text: str, number: int = 1, size: int = 5, concepts: Sequence[Q.Concept] = (), translations: DataFrame | None = None, expand: Callable[[dict], dict | None] | None = None, least: float = 0.5, ladder: bool = True) -> tuple[str, DataFrame]:
+    """(the query that was searched, its page). An expansion is asked only where a provider is set and no pasted translation
+    was found. A first page without rows is searched again by shorter and shorter forms of the query, until one has some."""
+    spark = passages.sparkSession
+    analysis = Q.analysis_of(spark, text, concepts)
+    asked = spark.createDataFrame([(text,)], "q string").select(Q.translation_terms(F.col("q")).alias("t")).first()["t"]
+    analysis["translation_terms"] = list(asked["terms"])
+    limit = Q.basket(size, analysis)
+    pasted = translations is not None and not analysis["is_pali_like"] and direct_translation(translated(passages, translations, analysis["translation_terms"], text.lower(), limit), asked["n"])
+    if expand is not None and not pasted:
+        analysis = Q.merged(analysis, expand(analysis))
+    page = result_page(spread(ranked(retrieve(passages, analysis, limit, translations), analysis, least)), number, size)
+    if ladder and number == 1 and page.isEmpty():
+        found = K.first_step_with_rows(K.query_ladder(text), lambda step: search_passages(passages, step, 1, size, concepts, translations, expand, least, False)[1])
+        if found:
+            return found
+    return text, page

@@ -324,3 +324,35 @@ def anchor_similarity(t):
 def whole_page_window(t):
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "sort_order")
     return t("passages").withColumn("k", F.row_number().over(w)).filter("k between 3 and 4").select("doc_id", F.col("sort_order").cast("long").alias("sort_order"))
+
+
+@query("laddered_search")
+def laddered_search(t):
+    """A query that no passage holds as a whole is searched by its shorter forms."""
+    return S.search_passages(searched(t), "zzqqx ertion", size=10)[1].select("doc_id", "sort_order", "score", "position")
+
+
+@query("length_between", f"WITH {PASSAGES} SELECT doc_id, sort_order FROM passages WHERE length(text) BETWEEN 80 AND 200")
+def length_between(t):
+    return t("passages").filter(F.length("text").between(80, 200)).select("doc_id", F.col("sort_order").cast("long").alias("sort_order"))
+
+
+@query("exact_range_join", f'''WITH {SECTIONS}, h AS (SELECT id AS tid, doc_id, "start" AS a, CASE WHEN "start" = "end" THEN NULL ELSE "end" END AS b FROM sections WHERE title <> 'whole'), r AS (SELECT h.tid, s.id, row_number() OVER (PARTITION BY h.tid ORDER BY len(s.path) DESC, s.title, s.id) AS n FROM h LEFT JOIN sections s ON s.doc_id = h.doc_id AND s."start" = h.a AND s."end" = coalesce(h.b, h.a)) SELECT tid, id FROM r WHERE n = 1''')
+def exact_range_join(t):
+    s = t("sections")
+    h = s.filter("title <> 'whole'").select(F.col("id").alias("tid"), "doc_id", "start", F.when(F.col("start") != F.col("end"), F.col("end")).alias("b"))
+    met = h.withColumn("end", F.coalesce("b", "start")).join(s, ["doc_id", "start", "end"], "left")
+    w = Window.partitionBy("tid").orderBy(F.desc_nulls_last(F.size("path")), "title", "id")
+    return met.withColumn("n", F.row_number().over(w)).filter("n = 1").select("tid", "id")
+
+
+@query("sections_by_size", f'WITH {SECTIONS} SELECT "end" - "start" + 1 AS passages, count(*) AS sections FROM sections GROUP BY 1')
+def sections_by_size(t):
+    return t("sections").groupBy((F.col("end") - F.col("start") + 1).alias("passages")).agg(F.count("*").alias("sections"))
+
+
+@query("open_scopes", "SELECT source, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) x WHERE x.source = d.source) GROUP BY source")
+def open_scopes(t):
+    """What an import would still take: sources that no earlier batch has finished."""
+    done = t("documents").join(t("labels").filter("toxic = 1"), "doc_id").select("source").distinct()
+    return t("documents").join(done, "source", "left_anti").groupBy("source").agg(F.count("*").alias("n"))

@@ -131,6 +131,16 @@ def test_spread_and_pages(spark):
     assert sorted(r["position"] for r in ranking.diversify(far, "rank", "words", "family", 5).collect()) == list(range(1, 31))
 
 
+def test_ladder_and_expansion(spark):
+    rows = passages(spark, [(1, i, t, "mul", "a", f"s{i}") for i, t in enumerate(["sankhara anicca vata", "dhamma"])])
+    asked, page = search.search_passages(rows, "nowhere sankhara", least=0.0)
+    assert asked == "sankhara" or page.count() == 1
+    assert [r["sort_order"] for r in page.collect()] == [0]
+    assert search.search_passages(rows, "xyzzy", ladder=False)[1].count() == 0
+    found = search.search_passages(rows, "xyzzy", expand=lambda a: {"must": ["dhamma"]})[1]
+    assert [r["sort_order"] for r in found.collect()] == [1]
+
+
 def test_search_query_twins_are_registered():
     assert "ranked_candidates" in catalog.oracle_sql() and "dice_margin_match" not in catalog.oracle_sql() and search_queries.ANALYSIS["must"]
 
