@@ -20,8 +20,8 @@ CONCEPTS = (
     A.Concept("two", "second", ("and", "de la"), pali=("inea", "shed"), should=("sheda",)),
 )
 ANALYSIS = {
-    "raw_query": "of the and", "is_pali_like": False, "query_terms": ["ertion"], "segment_terms": [["the", "and", "ertion"], ["la", "que"]], "segment_texts": ["and the of", "de la que", "of the"],
-    "hints": ["anat", "shed"], "must": ["ertion"], "should": ["inea"], "avoid": ["onshon"], "expanded": ["of the"], "stems": ["ertio"], "translation_terms": ["the", "of"],
+    "raw_query": "thing of ertion", "is_pali_like": False, "query_terms": ["ertion"], "segment_terms": [["the", "and", "ertion"], ["la", "que"]], "segment_texts": ["and the of", "de la que", "of the"],
+    "hints": ["anat", "shed"], "must": ["ertion"], "should": ["inea"], "avoid": ["onshon"], "expanded": ["of the"], "stems": ["ertio"], "translation_terms": ["thing", "ertion"],
 }
 LIMIT, LEAST = 60, 0.5
 ASKED_SQL = "replace([" + ", ".join(f"'{x}'" for x in NAMES_ASKED) + "][CAST(p_partkey % 6 AS INTEGER) + 1], '{}', p_name)"
