@@ -128,9 +128,21 @@ def set_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     return scored.filter(F.col("score") >= least).select("l", "r", "score")
 
 
+def met_by_left(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
+    """Pairs (l, r) of which the right set (r, s) has one of the left set's (l, s) rarest items, of so many that any set with
+    `share` of the left one has one. Only items that left sets have are counted and joined."""
+    own = a.select(F.explode("s").alias("g")).distinct()
+    often = b.select(F.explode("s").alias("g")).join(own, "g", "left_semi").groupBy("g").count()
+    known = own.join(often, "g", "left").select("g", F.coalesce("count", F.lit(0)).alias("count"))
+    return b.select("r", F.explode("s").alias("g")).join(rare_first(a, "l", "s", known, share), "g").select("l", "r").distinct()
+
+
 def trigram_best(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str, least: float = 0.3) -> DataFrame:
-    """Pairs whose padded trigrams have a Jaccard similarity of at least `least`."""
-    return set_pairs(left.select(F.col(left_key).alias("l"), padded_grams(F.col(left_text)).alias("s")), right.select(F.col(right_key).alias("r"), padded_grams(F.col(right_text)).alias("s")), least)
+    """Pairs whose padded trigrams have a Jaccard similarity of at least `least`, for a left side that is the smaller one."""
+    a = left.select(F.col(left_key).alias("l"), padded_grams(F.col(left_text)).alias("s")).filter(F.size("s") > 0)
+    b = right.select(F.col(right_key).alias("r"), padded_grams(F.col(right_text)).alias("s"))
+    both = met_by_left(a, b, least).join(a.select("l", F.col("s").alias("ls")), "l").join(b.select("r", F.col("s").alias("rs")), "r")
+    return both.withColumn("score", jaccard(F.col("ls"), F.col("rs"))).filter(F.col("score") >= least).select("l", "r", "score")
 
 
 def dice_pairs(left: DataFrame, right: DataFrame, least: float = 0.65, margin: float = 0.1) -> DataFrame:
@@ -140,10 +152,7 @@ def dice_pairs(left: DataFrame, right: DataFrame, least: float = 0.65, margin: f
     low = least - margin
     a = left.select("l", grams(F.col("text"), 3).alias("s")).filter(F.size("s") > 0)
     b = right.select("r", grams(F.col("text"), 3).alias("s"))
-    often = b.select(F.explode("s").alias("g")).groupBy("g").count()
-    known = a.select("l", F.explode("s").alias("g")).select("g").distinct().join(often, "g", "left").select("g", F.coalesce("count", F.lit(0)).alias("count"))
-    asked = rare_first(a, "l", "s", known, low / (2 - low))
-    met = b.select("r", F.explode("s").alias("g")).join(asked, "g").select("l", "r").distinct()
+    met = met_by_left(a, b, low / (2 - low))
     both = met.join(a.select("l", F.col("s").alias("ls")), "l").join(b.select("r", F.col("s").alias("rs")), "r").withColumn("c", F.size(F.array_intersect("ls", "rs")))
     return both.select("l", "r", (2 * F.col("c") / (F.size("ls") + F.size("rs"))).alias("score"), (F.col("c") / F.size("ls")).alias("covered")).filter(F.col("score") >= low)
 
