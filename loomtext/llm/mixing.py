@@ -7,7 +7,8 @@ exhausted ones are a prefix, so that running sums settle a level without iterati
 
 A leaf's budget is a number of whole epochs and a token prefix of one more, whose order is seeded by leaf epoch. The
 prefix ends at a cut-off key, found from sums over 4096 key buckets and then within one bucket, so that no task holds
-a leaf. Documents are chosen by comparing their key to the cut-off.
+a leaf. Documents are chosen by comparing their key to the cut-off. A tree of few leaves is settled by single tasks, a
+larger one by a shuffle's tasks at every step.
 
 Defined cases: a null domain, lang or source is the empty name; a null text costs one token; a document costs its words
 plus one; rows that agree in id and text have one key and are taken together; an empty table or a zero budget gives
@@ -17,6 +18,7 @@ Weights are whole numbers up to 10,000; a name without a weight has 1, a weight
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,8 +49,8 @@ def order_key(seed: int, epoch: Column, doc_id: Column, digest: Column) -> Colum
     return F.md5(F.concat_ws("|", F.lit(str(seed)), text(epoch), text(doc_id), digest).cast("binary"))
 
 
-def share(nodes: DataFrame, parents: list[str], budget: str) -> DataFrame:
-    """nodes (parents..., w, c, budget) with what each gets, as `got`.
+def share(nodes: DataFrame, parents: list[str], budget: str, held: Callable[[DataFrame, str], DataFrame] = staged) -> DataFrame:
+    """nodes (parents..., w, c, budget) with what each gets, as `got`. held: writes a table and reads it back.
 
     A node is full if filling all siblings to its level c / w costs no more than the budget, which holds up to some level.
     Siblings are summed in 4096 steps of 2 to the 1/64 of c / w, and only those of the one step in which the level lies are
@@ -69,7 +71,7 @@ def share(nodes: DataFrame, parents: list[str], budget: str) -> DataFrame:
     within = within.withColumns({"_upto": upto("_r") + F.col("_e.below"), "_over": beyond("_r") + F.col("_e._beyond")})
     level = within.filter(cost("_upto", "_m.c", "_over", "_m.w")).groupBy(*by).agg(F.max("_r").alias("_level"))
     full = F.col("_e").isNull() | (F.col("_k") < F.col("_e._k")) | F.coalesce((F.col("_k") == F.col("_e._k")) & (ratio <= F.col("_level")), F.lit(False))
-    marked = staged(marked.join(level, by, "left").withColumn("_full", full), "levels")  # a row a node; its plan would grow from level to level
+    marked = held(marked.join(level, by, "left").withColumn("_full", full), "levels")  # a row a node; its plan would grow from level to level
     spent = marked.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_full"), F.col("c"))), F.lit(0)).alias("_s"), F.sum(F.when(~F.col("_full"), F.col("w"))).alias("_rest"))
     rest = F.expr(f"(cast({budget} - _s as decimal(19,0)) * cast(w as decimal(19,0))) div _rest")
     return marked.join(spent, by).withColumn("got", F.when(F.col("_full"), F.col("c")).otherwise(rest)).drop("_k", "_e", "_level", "_full", "_s", "_rest")
@@ -79,20 +81,22 @@ def weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
     return reduce(lambda other, kv: F.when(F.col(level) == kv[0], F.lit(int(kv[1]))).otherwise(other), weights.get(level, {}).items(), F.lit(1)).cast("long")
 
 
-def leaf_plan(slim: DataFrame, weights: dict, percent: int, max_epochs: int, seed: int) -> DataFrame:
-    """Of each leaf: whole epochs and the cut-off key of the next. slim: (domain, lang, source, doc_id, tokens, digest)."""
+def leaf_plan(slim: DataFrame, weights: dict, percent: int, max_epochs: int, seed: int, few: int = 1 << 16) -> DataFrame:
+    """Of each leaf: whole epochs and the cut-off key of the next. slim: (domain, lang, source, doc_id, tokens, digest). Up
+    to `few` leaves are in one partition, so that the tree's steps need no shuffle."""
     leaves = slim.groupBy(*TREE).agg(F.sum("tokens").alias("tokens"))
     for level in TREE:
         leaves = leaves.withColumn(f"w_{level}", weight(level, weights)).filter(F.col(f"w_{level}") > 0)
     leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
     leaves = staged(leaves.withColumn("root", F.lit(0)), "leaves")
-    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    plan = leaves.withColumn("budget", F.lit(total * int(percent) // 100).cast("long"))
+    total, number = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    held = (lambda df, name: staged(df, name).coalesce(1)) if number <= few else staged
+    plan = (leaves.coalesce(1) if number <= few else leaves).withColumn("budget", F.lit(total * int(percent) // 100).cast("long"))
     for depth, level in enumerate(TREE):
         path = ["root", *TREE[: depth + 1]]
         nodes = plan.groupBy(*path).agg(F.first("budget").alias("budget"), F.first(f"w_{level}").alias("w"), F.sum("cap").alias("c"))
-        nodes = staged(nodes, "nodes")
-        plan = staged(plan.drop("budget").join(share(nodes, path[:-1], "budget").select(*path, F.col("got").alias("budget")), path), "budgets")
+        nodes = held(nodes, "nodes")
+        plan = held(plan.drop("budget").join(share(nodes, path[:-1], "budget", held).select(*path, F.col("got").alias("budget")), path), "budgets")
     plan = staged(plan.select(*TREE, F.expr("int(budget div tokens)").alias("whole"), F.expr("budget % tokens").alias("rest")), "mixleaves")
     keyed = slim.join(plan, list(TREE)).withColumn("key", order_key(seed, F.col("whole"), F.col("doc_id"), F.col("digest"))).withColumn("bucket", F.substring("key", 1, 3))
     sums = keyed.filter("rest > 0").groupBy(*TREE, "rest", "bucket").agg(F.sum("tokens").alias("t"))

@@ -17,8 +17,10 @@ in chunks by hash. Each surviving pair of leaf nodes is a block for one task, wh
 arrays. A task returns a spanning forest of the links it finds, not the links, so that a dense group of m fingerprints
 gives fewer than m rows.
 
-Components are joined up by alternating large-star and small-star steps over tables in the shared folder. Copies of one
-text share a fingerprint and enter once. Hot keys are salted where rows meet their class.
+Components are joined up by one task in arrays as long as all links fit into them with ease, which are far fewer than the
+texts, and beyond by alternating large-star and small-star steps over tables in the shared folder, each of which has a
+shuffle's tasks many times over. Copies of one text share a fingerprint and enter once. Hot keys are salted where rows
+meet their class.
 
 Bits alone cannot tell a Jaccard similarity of 0.8 from somewhat less. `similar` therefore takes the tries' links, with a
 budget beyond the mean at 0.8 by three and a half standard deviations, as candidates: what they connect are clusters, and
@@ -344,9 +346,27 @@ def salted(rows: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner
     return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(dealt, [key, "__salt"], how).drop("__salt")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, root) of all ends of edges (u, v): the smallest end reachable. Alternating large and small stars."""
-    edges = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "links")
+def _joined_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(v, root) of all edges (u, v) of all parts."""
+    held = [part[["u", "v"]].to_numpy(np.int64) for part in parts if len(part)]
+    if held:
+        ends, at = np.unique(np.concatenate(held), return_inverse=True)
+        at = at.reshape(-1, 2)
+        forest = Forest(len(ends))
+        forest.join(at[:, 0], at[:, 1])
+        moved = np.nonzero(forest.root != np.arange(len(ends)))[0]
+        for a in range(0, len(moved), CHUNK):
+            some = moved[a : a + CHUNK]
+            yield pd.DataFrame({"v": ends[some], "root": ends[forest.root[some]]})
+
+
+def components(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(v, root) of all ends of edges (u, v) but the roots: the smallest end reachable. At most `most` edges are joined up by
+    one task, more by alternating large and small stars."""
+    edges = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v"), "links")
+    if edges.count() <= most:
+        return staged(edges.coalesce(1).mapInPandas(_joined_up, "v long, root long"), "roots")
+    edges = staged(edges.distinct(), "links")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

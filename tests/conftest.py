@@ -18,3 +18,26 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def tasks(spark):
+    """tasks(run): the number of tasks that run() has with 50 partitions a shuffle, whatever they hold."""
+
+    def count(run):
+        held = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+        before, sc, group = {k: spark.conf.get(k) for k in held}, spark.sparkContext, f"tasks-{id(run)}"
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(group, group)
+        try:
+            run()
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        found = sc.statusTracker()
+        stages = [found.getStageInfo(s) for j in found.getJobIdsForGroup(group) for s in found.getJobInfo(j).stageIds]
+        return sum(s.numCompletedTasks for s in stages if s)
+
+    return count

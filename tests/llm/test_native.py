@@ -132,3 +132,14 @@ def test_mixing_of_nothing(spark):
     one = spark.createDataFrame([(1, "a b", "en", "src1")], df.schema)
     assert mixing.mix(one, percent=0).count() == 0
     assert mixing.mix(one, weights={"lang": {"en": 0}}).count() == 0
+
+
+def test_few_leaves_are_settled_without_a_shuffle(spark, tasks):
+    rng = random.Random(12)
+    rows = [(rng.choice(["web", "books", "other"]), rng.choice(["en", "de", ""]), f"src{rng.randrange(9)}", i, rng.randrange(1, 60), f"{i:04x}") for i in range(300)]
+    slim = spark.createDataFrame(rows, "domain string, lang string, source string, doc_id long, tokens long, digest string")
+    got = {}
+    plan = lambda name, **few: got.update({name: sorted(map(tuple, mixing.leaf_plan(slim, mixing.WEIGHTS, 90, 1, 7, **few).collect()))})
+    one, many = tasks(lambda: plan("one")), tasks(lambda: plan("many", few=0))
+    assert got["one"] == got["many"] and len(got["one"]) > 50
+    assert one < 500 and one < many / 2

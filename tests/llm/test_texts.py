@@ -486,3 +486,19 @@ def test_pipeline(spark, tmp_path):
     assert sizes[2] <= sizes[1] and set(ids("packing")) == set(ids("mixing"))
     frame(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_few_links_are_joined_up_by_one_task(spark, tasks):
+    rng = random.Random(11)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1200)] + [(7, 7)]
+    edges = spark.createDataFrame(pairs * 2, "u long, v long")
+    root = {x: x for p in pairs for x in p}
+    while any(root[a] != root[b] for a, b in pairs):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = sorted((v, r) for v, r in root.items() if v != r)
+    got = []
+    assert tasks(lambda: got.extend(tuple(r) for r in simhash.components(edges).select("v", "root").collect())) < 50
+    assert sorted(got) == want
+    assert sorted(tuple(r) for r in simhash.components(edges, most=10).select("v", "root").collect()) == want
+    assert simhash.components(edges.limit(0)).count() == 0
