@@ -20,6 +20,13 @@ def test_url_parts_and_rules(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(i, *w) for i, w in enumerate(want)] * 2, key=str)
 
 
+def test_url_query_judges_by_its_contract(spark, tmp_path):
+    urls = ["http://x.net/de/1", "http://a.example.net/de/8", "http://spam-farm.example.net/de/1", "http://x.com/en/", "http://example.com/en/7", "http://x.org/es/", "http://x.net/en/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r["rule"], r["verdict"]) for r in url_filter.op1_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == [("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("com/en/", "block"), ("example.com/en/7", "allow"), ("org/es/", "block"), (None, "allow")]
+
+
 def test_cascade_is_exact_at_any_size_of_its_literals(spark):
     rng = random.Random(5)
     keys = [f"h{i}.example.com" for i in range(3000)]
