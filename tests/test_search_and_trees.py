@@ -69,6 +69,21 @@ def test_similarity_joins_against_all_pairs(spark):
     assert pairs == {(i, j) for (i, a), (j, b) in itertools.product(enumerate(texts), repeat=2) if len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split())) >= 0.5}
 
 
+def test_trigrams_are_counted_where_right_texts_lie(spark, monkeypatch):
+    texts = ["Ab, cd", "ab CD", "", "...", "😀x😀xy", "😀x😀", "abcd abce", "abcd", "İi ΑΣ", None, "x" * 70000 + "abcd"]
+    a, b = (spark.createDataFrame(list(enumerate(texts)), f"{k} long, text string") for k in "lr")
+    run = lambda: (retrieval.trigram_best(a, b, "l", "text", "r", "text"), retrieval.dice_pairs(a, b, 0.4, 0.1))
+    for d in run():
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    got = [rows(d) for d in run()]
+    monkeypatch.setattr(retrieval, "CELLS", 40)
+    assert got == [rows(d) for d in run()]
+    monkeypatch.setattr(retrieval, "LEFT_GRAMS", 0)
+    assert got == [rows(d) for d in run()] and len(got[0]) > 8
+
+
 def test_ranks_of_extents(spark):
     assert one(spark, retrieval.cover_rank(F.col("x"), ["ab", "cd"]), x="x abc y cde z") == pytest.approx(2 / 3)
     assert one(spark, retrieval.cover_rank(F.col("x"), ["ab"]), x="x y") == 0
