@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomtext.functions import similarity as S
 from loomtext.operators import align, audit, providers, ranges, ranking, retrieval, upsert
+from loomtext.plans import catalog
 
 
 def rows(df):
@@ -195,3 +197,12 @@ def test_providers(spark):
     assert {r["payload"] for r in broken.collect()} == {None}
     got = spark.createDataFrame([('Sure: {"a": 1}',)], "p string").select(providers.tolerant_json(F.col("p"), "a int").alias("j")).first()["j"]
     assert got["a"] == 1
+
+
+def test_self_pairs_are_dealt_to_cells(spark, tmp_path):
+    rows = [(i, None if i % 3 else 1, "x" if i % 2 else None) for i in range(40)] + [(7, None, "x"), (None, None, "x")]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = catalog.queries()["nullsafe_selfjoin"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= 100
+    keyed = [r for r in rows if r[0] is not None]
+    assert sorted(map(tuple, got.collect())) == sorted((a[0], b[0]) for a in keyed for b in keyed if a[1:] == b[1:] and a[0] < b[0])
