@@ -206,3 +206,11 @@ def test_self_pairs_are_dealt_to_cells(spark, tmp_path):
     assert got.rdd.getNumPartitions() >= 100
     keyed = [r for r in rows if r[0] is not None]
     assert sorted(map(tuple, got.collect())) == sorted((a[0], b[0]) for a in keyed for b in keyed if a[1:] == b[1:] and a[0] < b[0])
+
+
+def test_grams_and_anchors(spark):
+    text = "ab\U0001F600cdefg" * 40
+    got = spark.createDataFrame([(text, "abcd")], "a string, b string").select(S.grams(F.col("a"), 5), S.grams(F.col("b"), 5), S.anchor_similarity(F.col("a"), F.col("a"))).first()
+    assert set(got[0]) == {text[i : i + 5] for i in range(len(text) - 4)} and len(got[0]) == len(set(got[0])) and got[1] == [] and got[2] == 1.0
+    plan = catalog.queries()["anchor_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring(text") >= 2  # whole texts do not meet
