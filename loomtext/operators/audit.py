@@ -78,11 +78,13 @@ def vocabulary(rows: DataFrame, text: Column, least: int = 5, chars: int = 2) ->
 
 
 def joined_pairs(rows: DataFrame, text: Column, least: int = 2) -> DataFrame:
-    """Adjacent words whose concatenation is itself a word, with both counts."""
-    tokens = rows.select(F.split(text, " ").alias("w"))
-    pairs = tokens.select(F.explode(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).select("p.*").filter("b is not null").groupBy("a", "b").agg(F.count("*").alias("pairs")).filter(F.col("pairs") >= least)
-    whole = tokens.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return pairs.join(whole, F.concat("a", "b") == F.col("word")).select("a", "b", "pairs", "n")
+    """Adjacent words whose concatenation is itself a word, with both counts. A text's last word is paired with a space, so
+    that one pass and one shuffle of pairs count the words too: no word has a space, and such pairs meet none."""
+    tokens = rows.select(F.explode(F.array(F.split(text, " "))).alias("w"))
+    each = tokens.select(F.explode(F.arrays_zip("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("next"))).alias("p"))
+    per = each.select(F.coalesce(F.col("p")["w"], F.lit("")).alias("a"), F.coalesce(F.col("p")["next"], F.lit(" ")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("pairs"))
+    whole = per.groupBy(F.col("a").alias("word")).agg(F.sum("pairs").alias("n"))
+    return per.filter(F.col("pairs") >= least).join(whole, F.concat("a", "b") == F.col("word")).select("a", "b", "pairs", "n")
 
 
 def character_histogram(rows: DataFrame, text: Column, hazard: str = r"[^\x20-\x7E\n]") -> DataFrame:

@@ -214,3 +214,11 @@ def test_grams_and_anchors(spark):
     assert set(got[0]) == {text[i : i + 5] for i in range(len(text) - 4)} and len(got[0]) == len(set(got[0])) and got[1] == [] and got[2] == 1.0
     plan = catalog.queries()["anchor_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("substring(text") >= 2  # whole texts do not meet
+
+
+def test_words_and_pairs_are_counted_by_one_pass(spark):
+    df = spark.createDataFrame([("a b ab",), ("a b",), ("a",), ("",), (None,), ("ab",)], "t string")
+    got = audit.joined_pairs(df, F.col("t"))
+    assert list(map(tuple, got.collect())) == [("a", "b", 2, 2)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan or got._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString().count("ReusedExchange")
