@@ -222,3 +222,11 @@ def test_words_and_pairs_are_counted_by_one_pass(spark):
     assert list(map(tuple, got.collect())) == [("a", "b", 2, 2)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan or got._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString().count("ReusedExchange")
+
+
+def test_spacing_audit_gives_long_pairs_keys_of_their_own(spark):
+    from loomtext.operators import pages
+
+    found = pages.spacing_audit(spark.createDataFrame([(i, "bcdf ábcd") for i in range(50)], "k long, t string"), "k", "t")
+    assert set(map(tuple, found.drop("k").collect())) == {("bcdf", "ábcd", True, 0)} and found.count() == 50
+    assert "ELSE concat( ," in found._jdf.queryExecution().optimizedPlan().toString()  # no key is null for all of them
