@@ -230,3 +230,17 @@ def test_spacing_audit_gives_long_pairs_keys_of_their_own(spark):
     found = pages.spacing_audit(spark.createDataFrame([(i, "bcdf ábcd") for i in range(50)], "k long, t string"), "k", "t")
     assert set(map(tuple, found.drop("k").collect())) == {("bcdf", "ábcd", True, 0)} and found.count() == 50
     assert "ELSE concat( ," in found._jdf.queryExecution().optimizedPlan().toString()  # no key is null for all of them
+
+
+def test_rows_that_tasks_keep_meet_in_groups(spark):
+    from loomtext.operators import search
+    from loomtext.plans import search_queries as s
+
+    rows = [(i, i % 5, f"anat {'shed ' * (i % 3)}the x{i}", f"anat {'shed ' * (i % 3)}the x{i}", "mul", str(i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, sort_order long, text string, folded string, corpus string, text_hash string").repartition(40)
+    analysis = s.ANALYSIS | {"must": [], "stems": []}
+    out = search.retrieve(df, analysis, 60)
+    got = [(r["branch"], r["doc_id"]) for r in out.collect()]
+    want = sorted(rows, key=lambda r: (-(1 + (r[0] % 3 > 0)), r[1], r[0]))[:120]
+    assert sorted(i for b, i in got if b == "term") == sorted(r[0] for r in want)
+    assert "__g" in out._jdf.queryExecution().optimizedPlan().toString()
