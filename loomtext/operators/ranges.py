@@ -74,13 +74,14 @@ def clip_overreach(sections: DataFrame, key: str) -> DataFrame:
     return s.join(cut, "id", "left").withColumn("end", F.coalesce(F.col("__cut") - 1, F.col("end"))).withColumn("clipped", F.col("__cut").isNotNull()).drop("__cut")
 
 
-def below(sections: DataFrame, key: str) -> DataFrame:
+def below(sections: DataFrame, key: str, parents: DataFrame | None = None) -> DataFrame:
     """(id, child, c_start, c_end, depth): sections and those below them by path and range. A child looks for each
-    beginning of its path, so that a document's sections do not all meet."""
+    beginning of its path, so that a document's sections do not all meet. parents: those sections whose children are asked, all if null."""
     s = closed(sections).select(key, "id", "start", "end", "path")
+    up = s if parents is None else closed(parents).select(key, "id", "start", "end", "path")
     heads = F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.slice("path", 1, i)))
     child = s.filter(F.size("path") > 1).select(key, F.col("id").alias("child"), F.col("start").alias("c_start"), F.col("end").alias("c_end"), F.size("path").alias("depth"), heads.alias("path"))
-    return s.join(child, [key, "path"]).filter("c_start >= start and c_end <= end").select(key, "id", "start", "end", "child", "c_start", "c_end", "depth")
+    return up.join(child, [key, "path"]).filter("c_start >= start and c_end <= end").select(key, "id", "start", "end", "child", "c_start", "c_end", "depth")
 
 
 def outline(sections: DataFrame, key: str, least: int = 2) -> DataFrame:

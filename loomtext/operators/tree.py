@@ -63,15 +63,17 @@ def _layer(rows: DataFrame) -> DataFrame:
     return n.withColumn("least", F.min("depth").over(Window.partitionBy("id"))).filter("depth = least").drop("n", "least")
 
 
-def outlines(sections: DataFrame, key: str) -> DataFrame:
+def outlines(sections: DataFrame, key: str, parents: DataFrame | None = None) -> DataFrame:
     """(id, child, c_start, c_end): one flat layer of each section of OUTLINE_LEAST passages or more.
 
     It is the shallowest layer below the section by path. A section whose path leads to none takes, by ranges alone, the
-    shallowest layer whose sections do not overlap, each that begins inside the one kept before left out."""
+    shallowest layer whose sections do not overlap, each that begins inside the one kept before left out. parents: those
+    sections whose outlines are asked, all if null."""
     s = closed(sections)
-    long_ = s.filter(F.col("end") - F.col("start") + 1 >= OUTLINE_LEAST).select("id", (F.col("end") - F.col("start") + 1).alias("own"))
-    by_path = _layer(below(sections, key).join(long_, "id").filter("c_end - c_start + 1 < own").select("id", "child", "c_start", "c_end", "depth"))
-    rest = s.join(long_.join(by_path, "id", "left_anti"), "id").select(key, "id", "start", "end", "own")
+    own = F.col("end") - F.col("start") + 1
+    long_ = (s if parents is None else closed(parents)).filter(own >= OUTLINE_LEAST)
+    by_path = _layer(below(sections, key, long_).withColumn("own", own).filter("c_end - c_start + 1 < own").select("id", "child", "c_start", "c_end", "depth"))
+    rest = long_.join(by_path, "id", "left_anti").select(key, "id", "start", "end", own.alias("own"))
     child = s.select(key, F.col("id").alias("child"), F.col("start").alias("c_start"), F.col("end").alias("c_end"), F.size("path").alias("depth"))
     met = rest.withColumn("__b", buckets(F.col("start"), F.col("end"), 64)).join(child.withColumn("__b", F.floor(F.col("c_start") / 64)), [key, "__b"])
     inside = met.filter("c_start >= start and c_end <= end and child <> id and c_end - c_start + 1 < own").select("id", "child", "c_start", "c_end", "depth")
@@ -88,10 +90,10 @@ def outlines(sections: DataFrame, key: str) -> DataFrame:
     return by_path.unionByName(flat).select("id", "child", "c_start", "c_end")
 
 
-def outline_entries(sections: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+def outline_entries(sections: DataFrame, blocks: DataFrame, key: str, parents: DataFrame | None = None) -> DataFrame:
     """(id, child, anchor, passages): outlines whose entries have a block (key, start) in their range to go to, the first
     one; at least two of them."""
-    rows = outlines(sections, key).join(closed(sections).select("id", key), "id")
+    rows = outlines(sections, key, parents).join(closed(sections).select("id", key), "id")
     at = rows.withColumn("__b", buckets(F.col("c_start"), F.col("c_end"), 64)).join(blocks.select(key, F.col("start").alias("anchor")).withColumn("__b", F.floor(F.col("anchor") / 64)), [key, "__b"]).filter("anchor between c_start and c_end")
     found = at.groupBy("id", "child", (F.col("c_end") - F.col("c_start") + 1).alias("passages")).agg(F.min("anchor").alias("anchor"))
     return found.withColumn("n", F.count("*").over(Window.partitionBy("id"))).filter("n >= 2").select("id", "child", "anchor", "passages")

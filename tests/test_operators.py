@@ -244,3 +244,12 @@ def test_rows_that_tasks_keep_meet_in_groups(spark):
     want = sorted(rows, key=lambda r: (-(1 + (r[0] % 3 > 0)), r[1], r[0]))[:120]
     assert sorted(i for b, i in got if b == "term") == sorted(r[0] for r in want)
     assert "__g" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_outlines_of_asked_sections_alone(spark):
+    from loomtext.operators import tree
+
+    rows = [(1, 9, "whole", ["d"], 0, 59)] + [(k + 2, 9, f"part {k}", ["d", f"part {k}"], 4 * k, 59 if k == 0 else 4 * k + 3) for k in range(15)]
+    s = spark.createDataFrame(rows, "id long, doc_id long, title string, path array<string>, start long, end long")
+    all_, some = (sorted(map(tuple, d.collect())) for d in (tree.outlines(s, "doc_id"), tree.outlines(s, "doc_id", s.filter("title = 'whole'"))))
+    assert some == [r for r in all_ if r[0] == 1] and len(some) > 1 and len(all_) > len(some)
